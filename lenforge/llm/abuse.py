@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lenforge.llm.labelled import ABUSIVE, HARMLESS
 
-LABELLED_DOCS, LANDMARKS, ROUNDS = 4000, 400, 3
+LABELLED_DOCS, LANDMARKS, ROUNDS = 4000, 600, 3
 BITS = 20
 GAP, WORD = 0.7, 1.6
 BLANK_SCORE = -1.0
@@ -369,7 +369,7 @@ def kernel(data: Sentences, pick: np.ndarray, marks: tuple[np.ndarray, np.ndarra
     return out
 
 
-def machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 15) -> tuple[np.ndarray, float]:
+def machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 15) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine by Newton steps on its active rows; y is ±1."""
     z1 = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(z1.shape[1])
@@ -396,9 +396,9 @@ def fit(flagged: list[str], accepted: list[str], seed: int = 11) -> tuple[np.nda
     table, bias = np.zeros(1 << BITS, dtype=np.float32), 0.0
     rows, y = seeds, np.where(kind[seeds] == 0, 1.0, -1.0)
     for turn in range(ROUNDS + 1):
-        # Landmarks: half from each side, as far as there are.
+        # Landmarks: half from each side, as far as there are; the rounds that choose sentences take fewer.
         sides = [rng.permutation(rows[y > 0]), rng.permutation(rows[y < 0])]
-        m = min(LANDMARKS, len(rows))
+        m = min(LANDMARKS if turn == ROUNDS else LANDMARKS // 3, len(rows))
         few = min(m // 2, len(sides[0]))
         marks_at = np.sort(np.concatenate([sides[0][:few], sides[1][: m - few]]))
         m = len(marks_at)
@@ -423,14 +423,14 @@ def fit(flagged: list[str], accepted: list[str], seed: int = 11) -> tuple[np.nda
             # Of a flagged document the worst sentence and all clear ones; none if the model sees nothing at all.
             worst = np.full(len(texts), -np.inf)
             np.maximum.at(worst, data.text[bad], score[bad])
-            top = (score[bad] >= worst[data.text[bad]]) & (score[bad] > (-0.6 if turn == 0 else -0.4))
+            top = (score[bad] >= worst[data.text[bad]]) & (score[bad] > (-0.3 if turn == 0 else 0.0))
             chosen = bad[top | (score[bad] > 0.2)]
             taken.append(chosen)
             labels.append(np.ones(len(chosen)))
         if len(good):
             worst = np.full(len(texts), -np.inf)
             np.maximum.at(worst, data.text[good], score[good])
-            chosen = good[(score[good] >= worst[data.text[good]]) | (rng.random(len(good)) < 0.08)]
+            chosen = good[(score[good] >= worst[data.text[good]]) | (score[good] > -0.4) | (rng.random(len(good)) < 0.08)]
             taken.append(chosen)
             labels.append(-np.ones(len(chosen)))
         rows, y = np.concatenate(taken), np.concatenate(labels)
