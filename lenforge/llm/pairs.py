@@ -412,7 +412,10 @@ def broken_pairs(samples: DataFrame, key: str = "sample_id", sample_rows: int =
     """(sample_id, defect) of each defective pair of ``samples``: sample_id, instruction, response [, loaded_at]."""
     named = samples.where(F.col(key).isNotNull())
     order = [F.col("loaded_at")] if "loaded_at" in samples.columns else []
-    fit = named.where("response IS NOT NULL").select(F.xxhash64(key).alias("_h"), "response").orderBy("_h", "response").limit(sample_rows).collect()
+    # The bound on the hash is found on the keys alone, so that tasks send no more texts than the sample holds.
+    hashed = F.xxhash64(key)
+    top = named.select(hashed.alias("_h")).orderBy("_h").limit(sample_rows).agg(F.max("_h").alias("h")).first()["h"]
+    fit = sorted(named.where(hashed <= F.lit(top)).where("response IS NOT NULL").select(hashed.alias("_h"), "response").collect()) if top is not None else []
     shared = samples.sparkSession.sparkContext.broadcast(fit_ends([r.response for r in fit]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
