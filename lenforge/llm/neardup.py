@@ -99,12 +99,12 @@ def signature(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, different bands never mixing."""
+    """One 32-bit key per band, of the band's number and min-hashes; a chance agreement only adds a candidate."""
     rows = sig[:HASHES].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
         key = _scramble(key + rows[:, k])
-    return key.view(np.int64)
+    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 @lru_cache(maxsize=None)
@@ -131,22 +131,16 @@ def prune(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, tolerance:
     return alive
 
 
-def once(samples: DataFrame, key: str = "sample_id") -> DataFrame:
-    """(sample_id, instruction, response), the earliest loaded row of each key."""
-    row = samples.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("loaded_at", "instruction", "response")).alias("_r"))
-    return row.select(F.col(key).alias("id"), "_r.instruction", "_r.response")
-
-
 def _features(rows: DataFrame) -> DataFrame:
-    """(id, text_key, n, bands, sketch) of each text with any word; text_key is a 128-bit key of its words, n counts its runs.
+    """(id, at, text_key, n, bands, sketch) of each text with any word; text_key is a 128-bit key of its words, n counts its runs.
 
     The runs themselves are not kept: they are many times the size of a sketch, and few samples need them again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, sizes, bands, sketches = [], [], [], [], []
-            for i, ins, res in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            kept, keys, sizes, bands, sketches = [], [], [], [], []
+            for i, (ins, res) in enumerate(zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)):
                 tokens = words(ins, res)
                 if not tokens:
                     continue
@@ -156,17 +150,19 @@ def _features(rows: DataFrame) -> DataFrame:
                 two = int(_scramble(code ^ (at * _MIX[4])).sum(dtype=np.uint64))
                 shingles = runs(tokens)
                 sig = signature(shingles)
-                ids.append(i)
+                kept.append(i)
                 keys.append(one.to_bytes(8, "big") + two.to_bytes(8, "big"))
                 sizes.append(len(shingles))
                 bands.append(band_keys(sig))
                 sketches.append((sig[HASHES:] >> np.uint32(24)).astype(np.uint8).tobytes())
             ends = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS)
-            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, dtype=np.int64))
-            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n", "bands", "sketch"])
+            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, dtype=np.int32))
+            pick = pa.array(kept, pa.int64())
+            columns = [batch.column("id").take(pick), batch.column("at").take(pick), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "text_key", "n", "bands", "sketch"])
 
-    return rows.select("id", "instruction", "response").mapInArrow(run, "id bigint, text_key binary, n int, bands array<bigint>, sketch binary")
+    at = rows.schema["at"].dataType.simpleString()
+    return rows.select("id", "at", "instruction", "response").mapInArrow(run, f"id bigint, at {at}, text_key binary, n int, bands array<int>, sketch binary")
 
 
 def _run_sets(rows: DataFrame) -> DataFrame:
@@ -203,23 +199,28 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(samples: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """(pairs of representatives with their similarity, membership (id, rep)) of ``samples``: id, instruction, response, ids unique."""
-    features = cut(_features(samples))
-    members = features.groupBy("text_key").agg(F.min("id").alias("rep"))
-    member_of = cut(features.select("id", "text_key").join(members, "text_key").select("id", "rep"))
-    sigs = features.join(member_of.where("id = rep").select("id"), "id", "left_semi")
+    """(pairs of representatives with their similarity, membership (id, rep)) of ``samples``: id, at (time of loading), instruction, response."""
+    named = samples.where("id IS NOT NULL")
+    # One pass over the texts; from here on, only keys and sketches travel.
+    features = cut(_features(named))
+    once = features.groupBy("id").agg(F.min(F.struct("at", "text_key")).alias("_r")).select("id", F.col("_r.at").alias("at"), F.col("_r.text_key").alias("text_key"))
+    first = once.groupBy("text_key").agg(F.min("id").alias("rep"))
+    member_of = cut(once.join(first, "text_key").select("id", "at", "rep"))
+    reps = member_of.where("id = rep").select("id", F.col("at").alias("_at"))
+    sigs = features.join(reps, "id").where(F.col("at").eqNullSafe(F.col("_at"))).select("id", "n", "bands", "sketch")
     rows = sigs.select("id", F.explode("bands").alias("band"))
     x, y = rows.alias("x"), rows.alias("y")
     candidates = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sketch = sigs.select("id", "n", "sketch")
+    sketch = sigs.select("id", "n", "sketch").dropDuplicates(["id"])
     compared = candidates.join(sketch.withColumnsRenamed({"id": "a", "n": "n_a", "sketch": "sketch_a"}), "a").join(sketch.withColumnsRenamed({"id": "b", "n": "n_b", "sketch": "sketch_b"}), "b")
     # Sizes that differ too much cannot reach the threshold.
     compared = compared.where((F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold))
     kept = cut(_kept(compared.select("a", "b", "sketch_a", "sketch_b"), threshold, tolerance))
     needed = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _run_sets(samples.join(needed, "id", "left_semi"))
+    texts = named.join(needed.join(reps, "id"), "id").where(F.col("at").eqNullSafe(F.col("_at")))
+    sets = _run_sets(texts).dropDuplicates(["id"])
     both = kept.join(sets.withColumnsRenamed({"id": "a", "shingles": "shingles_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "shingles_b"}), "b")
-    return _verified(both.select("a", "b", "shingles_a", "shingles_b"), threshold), member_of
+    return _verified(both.select("a", "b", "shingles_a", "shingles_b"), threshold), member_of.select("id", "rep")
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -257,8 +258,8 @@ def groups(pairs: DataFrame, members: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    samples = spark.read.parquet(f"{sf_dir}/raw_samples.parquet").select("sample_id", "loaded_at", "instruction", "response")
-    return near_duplicates(once(samples))
+    samples = spark.read.parquet(f"{sf_dir}/raw_samples.parquet")
+    return near_duplicates(samples.select(F.col("sample_id").alias("id"), F.col("loaded_at").alias("at"), "instruction", "response"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
