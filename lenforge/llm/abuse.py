@@ -309,12 +309,20 @@ def sentence_numbers(words: Words, number: np.ndarray) -> np.ndarray:
 class Sentences:
     """Sparse features of the sentences of some texts: feature and value by sentence, rows of unit weight."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], part: int = 300):
+        # Part by part, so that the passing arrays stay small.
+        parts = [self._part(texts[at : at + part], at) for at in range(0, len(texts), part)] or [self._part([], 0)]
+        self.feature, self.value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.start = np.concatenate([[0], np.cumsum(np.concatenate([p[2] for p in parts]))]).astype(np.int64)
+        self.text = np.concatenate([p[3] for p in parts])
+
+    @staticmethod
+    def _part(texts: list[str], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         words = Words()
         number, owner = numbered(words, [tokens_of(t) for t in texts])
         sent = sentence_numbers(words, number)
         length = words.start[number + 1] - words.start[number]
-        at = np.repeat(words.start[number] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        at = np.repeat(words.start[number] - np.concatenate([[0], np.cumsum(length)])[:-1], length) + np.arange(length.sum())
         rows, cols, vals = [np.repeat(sent, length)], [words.feature[at]], [words.value[at]]
         for s, f, weight in context(words, number, sent):
             rows.append(s)
@@ -325,10 +333,8 @@ class Sentences:
         used = np.flatnonzero(size > 0)
         size, r = size[used], (np.cumsum(size > 0) - 1)[r].astype(np.int32)
         order = np.argsort(r, kind="stable")
-        self.feature, r = f[order], r[order]
-        self.value = (v[order] / np.sqrt(size)[r]).astype(np.float32)
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(used)))]).astype(np.int64)
-        self.text = owner[np.searchsorted(sent, used)]
+        f, r = f[order], r[order]
+        return f, (v[order] / np.sqrt(size)[r]).astype(np.float32), np.bincount(r, minlength=len(used)), owner[np.searchsorted(sent, used)] + base
 
     def __len__(self) -> int:
         return len(self.start) - 1
@@ -340,8 +346,8 @@ class Sentences:
         return np.repeat(np.arange(len(pick)), lengths), self.feature[at], self.value[at]
 
     def score(self, weights: np.ndarray) -> np.ndarray:
-        r = np.repeat(np.arange(len(self)), np.diff(self.start))
-        return np.bincount(r, weights=weights[self.feature] * self.value, minlength=len(self))
+        # Every sentence has a feature, so no segment is empty.
+        return np.add.reduceat(weights[self.feature] * self.value, self.start[:-1]) if len(self) else np.empty(0, np.float32)
 
 
 def kernel(data: Sentences, pick: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarray], m: int) -> np.ndarray:
@@ -430,7 +436,7 @@ def fit(flagged: list[str], accepted: list[str], seed: int = 11) -> tuple[np.nda
         if len(good):
             worst = np.full(len(texts), -np.inf)
             np.maximum.at(worst, data.text[good], score[good])
-            chosen = good[(score[good] >= worst[data.text[good]]) | (score[good] > -0.4) | (rng.random(len(good)) < 0.08)]
+            chosen = good[(score[good] >= worst[data.text[good]]) | (score[good] > 0) | (rng.random(len(good)) < 0.08)]
             taken.append(chosen)
             labels.append(-np.ones(len(chosen)))
         rows, y = np.concatenate(taken), np.concatenate(labels)
@@ -493,12 +499,18 @@ def score_texts(texts: list[str | None], table: np.ndarray, bias: float) -> np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED_DOCS) -> tuple[np.ndarray, float]:
-    """The model, from a bounded sample of documents with agreeing verdicts."""
+    """The model, from a bounded sample of documents with agreeing verdicts; fitted in one task, as the sample is bounded."""
     verdict = labels.where("verdict IN ('flag', 'ok')").groupBy(id_col).agg(F.min("verdict").alias("lo"), F.max("verdict").alias("hi")).where("lo = hi").select(id_col, F.col("lo").alias("verdict"))
     sample = verdict.orderBy(F.xxhash64(id_col), id_col).limit(bound)
-    rows = docs.select(id_col, text_col).join(sample, id_col).orderBy(id_col, text_col).select("verdict", text_col).collect()
-    texts = [(r.verdict, r[text_col]) for r in rows if r[text_col] and r[text_col].strip()]
-    return fit([t for v, t in texts if v == "flag"], [t for v, t in texts if v == "ok"])
+    rows = docs.select(id_col, text_col).join(sample, id_col).select(id_col, "verdict", text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, v, t) for b in batches for i, v, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t and not t.isspace())
+        table, bias = fit([t for _, v, t in got if v == "flag"], [t for _, v, t in got if v == "ok"])
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+    model = rows.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    return np.frombuffer(model["weights"], dtype=np.float32), model["bias"]
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
