@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -47,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
 def strip(col: Column | str) -> Column:
     """Removes Unicode white space at both ends (Spark's trim removes spaces only)."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
+def free_finished_shuffles(spark: SparkSession) -> None:
+    """Asks the driver's JVM to drop unreferenced plans now, so that executors delete the shuffle files of finished stages.
+
+    Spark deletes them when the driver collects its garbage, which on a driver with a large heap may be long after their last use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
