@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lenforge.session import cut
+from lenforge.session import cut, free_finished_shuffles
 
 THRESHOLD, SHINGLE = 0.5, 3
 #: Bands of ROWS min-hashes each make the buckets; COMPARED further ones serve the pruning.
@@ -198,15 +198,15 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)
 
 
-def near_duplicates(samples: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """(pairs of representatives with their similarity, membership (id, rep)) of ``samples``: id, at (time of loading), instruction, response."""
-    named = samples.where("id IS NOT NULL")
-    # One pass over the texts; from here on, only keys and sketches travel.
-    features = cut(_features(named))
+def _members(features: DataFrame) -> DataFrame:
+    """(id, at, rep) of every sample: the row that counts, and the least id with the same words."""
     once = features.groupBy("id").agg(F.min(F.struct("at", "text_key")).alias("_r")).select("id", F.col("_r.at").alias("at"), F.col("_r.text_key").alias("text_key"))
     first = once.groupBy("text_key").agg(F.min("id").alias("rep"))
-    member_of = cut(once.join(first, "text_key").select("id", "at", "rep"))
-    reps = member_of.where("id = rep").select("id", F.col("at").alias("_at"))
+    return cut(once.join(first, "text_key").select("id", "at", "rep"))
+
+
+def _likely_pairs(features: DataFrame, reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b): candidates of the buckets that the pruning leaves."""
     sigs = features.join(reps, "id").where(F.col("at").eqNullSafe(F.col("_at"))).select("id", "n", "bands", "sketch")
     rows = sigs.select("id", F.explode("bands").alias("band"))
     x, y = rows.alias("x"), rows.alias("y")
@@ -215,7 +215,19 @@ def near_duplicates(samples: DataFrame, threshold: float = THRESHOLD, tolerance:
     compared = candidates.join(sketch.withColumnsRenamed({"id": "a", "n": "n_a", "sketch": "sketch_a"}), "a").join(sketch.withColumnsRenamed({"id": "b", "n": "n_b", "sketch": "sketch_b"}), "b")
     # Sizes that differ too much cannot reach the threshold.
     compared = compared.where((F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold))
-    kept = cut(_kept(compared.select("a", "b", "sketch_a", "sketch_b"), threshold, tolerance))
+    return cut(_kept(compared.select("a", "b", "sketch_a", "sketch_b"), threshold, tolerance))
+
+
+def near_duplicates(samples: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """(pairs of representatives with their similarity, membership (id, rep)) of ``samples``: id, at (time of loading), instruction, response."""
+    named = samples.where("id IS NOT NULL")
+    # One pass over the texts; from here on, only keys and sketches travel.
+    features = cut(_features(named))
+    member_of = _members(features)
+    reps = member_of.where("id = rep").select("id", F.col("at").alias("_at"))
+    kept = _likely_pairs(features, reps, threshold, tolerance)
+    del features
+    free_finished_shuffles(samples.sparkSession)
     needed = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = named.join(needed.join(reps, "id"), "id").where(F.col("at").eqNullSafe(F.col("_at")))
     sets = _run_sets(texts).dropDuplicates(["id"])
