@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lenforge.session import cut, free_finished_shuffles
+from lenforge.session import cut
 
 THRESHOLD, SHINGLE = 0.5, 3
 #: Bands of ROWS min-hashes each make the buckets; COMPARED further ones serve the pruning.
@@ -38,6 +38,8 @@ ROWS, BANDS, COMPARED = 4, 72, 64
 HASHES = ROWS * BANDS
 STEPS = (8, 16, 24, 32, 48, 64)
 TOLERANCE = 1e-5
+#: Key rows (16 bytes each) that may be broadcast; their number is checked, and more of them are joined by a shuffle.
+SENT_ROWS = 1_000_000
 _PUNCTUATION = re.compile(r"[^\w\s]+")
 _SEED = np.random.default_rng(20240607)
 _MUL = (_SEED.integers(1, 1 << 31, HASHES + COMPARED, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -170,7 +172,8 @@ def _run_sets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [runs(words(a, b)).tobytes() for a, b in zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)]
+            # Of each 64-bit hash six bytes travel: enough to tell the runs of any two texts apart.
+            sets = [(runs(words(a, b)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, b in zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return rows.select("id", "instruction", "response").mapInArrow(run, "id bigint, shingles binary")
@@ -185,12 +188,18 @@ def _kept(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _wide(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sim = []
             for x, y in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                x, y = _wide(x), _wide(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 sim.append(both / (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
@@ -207,7 +216,11 @@ def _members(features: DataFrame) -> DataFrame:
 
 def _likely_pairs(features: DataFrame, reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(a, b): candidates of the buckets that the pruning leaves."""
-    sigs = features.join(reps, "id").where(F.col("at").eqNullSafe(F.col("_at"))).select("id", "n", "bands", "sketch")
+    # Few rows are copies or repeated, as a rule: they are sent to the sketches, rather than all sketches to the representatives.
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("at").eqNullSafe(F.col("_at"))
+    own = reps.withColumnRenamed("id", "_id")
+    others = cut(features.select("id", "at").join(own, same, "left_anti").withColumnsRenamed({"id": "_id", "at": "_at"}).distinct())
+    sigs = features.join(F.broadcast(others), same, "left_anti") if others.count() <= SENT_ROWS else features.join(own, same, "left_semi")
     rows = sigs.select("id", F.explode("bands").alias("band"))
     x, y = rows.alias("x"), rows.alias("y")
     candidates = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -226,10 +239,9 @@ def near_duplicates(samples: DataFrame, threshold: float = THRESHOLD, tolerance:
     member_of = _members(features)
     reps = member_of.where("id = rep").select("id", F.col("at").alias("_at"))
     kept = _likely_pairs(features, reps, threshold, tolerance)
-    del features
-    free_finished_shuffles(samples.sparkSession)
-    needed = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = named.join(needed.join(reps, "id"), "id").where(F.col("at").eqNullSafe(F.col("_at")))
+    needed = cut(kept.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps, "id"))
+    few = F.broadcast(needed) if needed.count() <= SENT_ROWS else needed
+    texts = named.join(few, "id").where(F.col("at").eqNullSafe(F.col("_at")))
     sets = _run_sets(texts).dropDuplicates(["id"])
     both = kept.join(sets.withColumnsRenamed({"id": "a", "shingles": "shingles_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "shingles_b"}), "b")
     return _verified(both.select("a", "b", "shingles_a", "shingles_b"), threshold), member_of.select("id", "rep")
