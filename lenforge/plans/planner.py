@@ -58,7 +58,6 @@ class Slice:
     take: int
     fell_back: bool = False
     alerted_band: int | None = None
-    skipped_before: int = 0
 
 
 @dataclass
@@ -77,103 +76,116 @@ def check_coverage(counts: dict[int, int], profiles: Sequence[Profile]) -> None:
         raise ValueError(f"no category takes bands {missing}")
 
 
+@dataclass
+class _Batch:
+    category: int
+    takes: list[tuple[int, int]]
+    alerted: int | None = None
+    fell: bool = False
+
+
+def _repeatable(start: dict[int, int], asked: dict[int, int], used: dict[int, int]) -> int:
+    """How many times a round may follow itself: no band that gave something was asked for more than it had."""
+    m = None
+    for b, u in used.items():
+        if asked[b] > u and start[b] > 0:
+            return 1
+        if u:
+            m = start[b] // u if m is None else min(m, start[b] // u)
+    return max(1, m or 1)
+
+
+def _planned(counts: dict[int, int], one_round) -> Plan:
+    """Runs of equal rounds; ``one_round(left, asked)`` takes its rows out of ``left`` and gives its batches, None for a skip."""
+    left = {b: int(n) for b, n in sorted(counts.items())}
+    at = dict.fromkeys(left, 0)
+    plan, pending = Plan(), 0
+    while any(left.values()):
+        start, asked = dict(left), dict.fromkeys(left, 0)
+        got = one_round(left, asked)
+        used = {b: start[b] - left[b] for b in left}
+        repeats = _repeatable(start, asked, used)
+        batches = [x for x in got if x is not None]
+        trailing = next(i for i, x in enumerate(reversed(got)) if x is not None)
+        inside = dict.fromkeys(left, 0)
+        for i, x in enumerate(batches):
+            for seq, (b, t) in enumerate(x.takes):
+                if t:
+                    plan.slices.append(Slice(plan.batches + i, len(batches), repeats, x.category, b, seq, at[b] + inside[b], used[b], t, x.fell, x.alerted))
+                    inside[b] += t
+            if x.alerted is not None:
+                plan.alerts[x.alerted] = plan.alerts.get(x.alerted, 0) + repeats
+            plan.fallbacks += repeats * x.fell
+        plan.skipped += pending + repeats * (len(got) - len(batches)) - trailing
+        pending = trailing
+        plan.batches += repeats * len(batches)
+        for b, u in used.items():
+            at[b] += u * repeats
+            left[b] = start[b] - u * repeats
+    return plan
+
+
 def category_plan(counts: dict[int, int], profiles: Sequence[Profile], batch: int) -> Plan:
+    """The round-robin category schedule: dry categories are skipped, a short band is made up for by the category's other one."""
     check_coverage(counts, profiles)
-    left = {b: int(n) for b, n in counts.items()}
+    every = dict(counts)
     for p in profiles:
         for b in p.bands:
-            left.setdefault(b, 0)
-    at = dict.fromkeys(left, 0)
-    plan, pending, ci, nc = Plan(), 0, 0, len(profiles)
+            every.setdefault(b, 0)
 
-    def fill(p: Profile) -> list[tuple[int, int]]:
-        if p.single:
-            return [(p.bands[0], batch)]
-        t0 = p.target(batch)
-        return [(p.bands[0], t0), (p.bands[1], batch - t0)]
+    def one_round(left: dict[int, int], asked: dict[int, int]) -> list[_Batch | None]:
+        out: list[_Batch | None] = []
 
-    while any(left.values()):
-        if ci == 0:
-            # Whole rounds in which no category is dry or short.
-            use: dict[int, int] = {}
-            for p in profiles:
-                for b, t in fill(p):
-                    use[b] = use.get(b, 0) + t
-            rounds = min((left[b] // t for b, t in use.items() if t), default=0)
-            if rounds > 0:
-                inside = dict.fromkeys(left, 0)
-                for c, p in enumerate(profiles):
-                    for seq, (b, t) in enumerate(fill(p)):
-                        if t:
-                            plan.slices.append(Slice(plan.batches + c, nc, rounds, c, b, seq, at[b] + inside[b], use[b], t, skipped_before=pending if c == 0 and seq == 0 else 0))
-                            inside[b] += t
-                plan.skipped += pending
-                pending = 0
-                plan.batches += nc * rounds
-                for b, t in use.items():
-                    left[b] -= t * rounds
-                    at[b] += t * rounds
+        def take(b: int, n: int) -> int:
+            asked[b] += n
+            t = min(n, left[b])
+            left[b] -= t
+            return t
+
+        for c, p in enumerate(profiles):
+            if not any(left[b] for b in p.bands):
+                out.append(None)
                 continue
-        p = profiles[ci]
-        c, ci = ci, (ci + 1) % nc
-        if not any(left[b] for b in p.bands):
-            pending += 1
-            continue
-        # One category alone may go on for long: its full batches between the skips of the others are one run too.
-        others_dry = all(not any(left[b] for b in q.bands) for k, q in enumerate(profiles) if k != c)
-        want = fill(p)
-        full = min((left[b] // t for b, t in want if t), default=0)
-        repeats = full if others_dry and full > 1 else 1
-        taken = [(b, min(t, left[b])) for b, t in want]
-        alerted, fell, extra = None, False, None
-        short = batch - sum(t for _, t in taken)
-        if not p.single and short > 0:
-            for mine, other in ((0, 1), (1, 0)):
-                b, o = p.bands[mine], p.bands[other]
-                if taken[mine][1] < want[mine][1] and left[o] - taken[other][1] > 0:
-                    alerted, extra = b, (o, min(short, left[o] - taken[other][1]))
-                    fell = True
-                    plan.alerts[b] = plan.alerts.get(b, 0) + 1
-                    break
-        parts = [*taken, *([extra] if extra else [])]
-        for seq, (b, t) in enumerate(parts):
-            if t:
-                step = t if repeats > 1 else 1 << 60
-                plan.slices.append(Slice(plan.batches, 1, repeats, c, b, seq, at[b], step, t, fell, alerted if seq == 0 or taken[0][1] == 0 else None, pending if seq == 0 else 0))
-                at[b] += t * repeats
-                left[b] -= t * repeats
-        plan.skipped += pending + (repeats - 1) * (nc - 1)
-        pending = 0
-        plan.batches += repeats
-        plan.fallbacks += fell
-    return plan
+            if p.single:
+                out.append(_Batch(c, [(p.bands[0], take(p.bands[0], batch))]))
+                continue
+            b0, b1 = p.bands
+            t0 = p.target(batch)
+            got0, got1 = take(b0, t0), take(b1, batch - t0)
+            x = _Batch(c, [(b0, got0), (b1, got1)])
+            rest = batch - got0 - got1
+            if rest and got0 < t0 and left[b1]:
+                x.alerted, x.fell = b0, True
+                x.takes.append((b1, take(b1, rest)))
+            elif rest and got1 < batch - t0 and left[b0]:
+                x.alerted, x.fell = b1, True
+                x.takes.append((b0, take(b0, rest)))
+            out.append(x)
+        return out
+
+    return _planned(every, one_round)
 
 
 def baseline_plan(counts: dict[int, int], batch: int) -> Plan:
-    """One row per band in turn, beginning at the first band in every batch; equal batches are one run."""
-    left = {b: int(n) for b, n in sorted(counts.items())}
-    at = dict.fromkeys(left, 0)
-    plan = Plan()
-    while any(left.values()):
-        take, free, room = dict.fromkeys(left, 0), dict(left), batch
-        while room and any(free.values()):
+    """One row per band in turn, beginning at the first band in every batch."""
+
+    def one_round(left: dict[int, int], asked: dict[int, int]) -> list[_Batch | None]:
+        taken, room = dict.fromkeys(left, 0), batch
+        while room and any(left.values()):
             for b in left:
-                if room and free[b]:
-                    take[b] += 1
-                    free[b] -= 1
+                if room and left[b]:
+                    left[b] -= 1
+                    taken[b] += 1
                     room -= 1
-        # The same batch repeats while no band's supply falls below what it takes.
-        repeats = max(1, min((left[b] // t for b, t in take.items() if t), default=1)) if room == 0 and all(t == 0 or left[b] >= t for b, t in take.items()) else 1
-        for seq, (b, t) in enumerate(take.items()):
-            if t:
-                plan.slices.append(Slice(plan.batches, 1, repeats, -1, b, seq, at[b], t if repeats > 1 else 1 << 60, t))
-                at[b] += t * repeats
-                left[b] -= t * repeats
-        plan.batches += repeats
-    return plan
+        for b, t in taken.items():
+            # A band that ran dry in the round was asked for more than it had.
+            asked[b] = t + (left[b] == 0)
+        return [_Batch(-1, list(taken.items()))]
+
+    return _planned(counts, one_round)
 
 
-SLICE_SCHEMA = "batch0 bigint, stride bigint, repeats bigint, category int, band int, seq int, pos_lo bigint, step bigint, take bigint, fell_back boolean, alerted_band int, skipped_before int"
+SLICE_SCHEMA = "batch0 bigint, stride bigint, repeats bigint, category int, band int, seq int, pos_lo bigint, step bigint, take bigint, fell_back boolean, alerted_band int"
 
 
 def plan_table(spark: SparkSession, plan: Plan) -> DataFrame:
