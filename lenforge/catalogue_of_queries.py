@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+from lenforge import queries_batches, queries_tables  # noqa: E402,F401  they register themselves

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +50,7 @@ def strip(col: Column | str) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
-def free_finished_shuffles(spark: SparkSession) -> None:
-    """Asks the driver's JVM to drop unreferenced plans now, so that executors delete the shuffle files of finished stages.
-
-    Spark deletes them when the driver collects its garbage, which on a driver with a large heap may be long after their last use.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def work_folder(spark: SparkSession) -> str:
+    """A new path below the shared checkpoint folder, for tables a query writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
