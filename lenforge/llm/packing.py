@@ -85,7 +85,10 @@ def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, by: str,
 
     kinds = {c: items.schema[c].dataType.simpleString() for c in (by, key)}
     schema = f"by {kinds[by]}, key {kinds[key]}, part_no bigint, part_size bigint, container_id bigint, capacity bigint"
-    packed = rows.groupBy("by", "grp").applyInPandas(run, schema)
+    # A fixed number of partitions: groups are small in bytes but long to pack, and must not be merged into few tasks.
+    spark = items.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    packed = rows.repartition(n, "by", "grp").groupBy("by", "grp").applyInPandas(run, schema)
     return packed.select(F.col("by").alias(by), F.col("key").alias(key), "part_no", "part_size", "container_id", "capacity")
 
 
