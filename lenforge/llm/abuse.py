@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lenforge.llm.labelled import ABUSIVE, HARMLESS
 
-LABELLED_DOCS, LANDMARKS, ROUNDS = 4000, 600, 3
+LABELLED_DOCS, LANDMARKS, ROUNDS = 8000, 1000, 3
 BITS = 20
 GAP, WORD = 0.7, 1.6
 BLANK_SCORE = -1.0
