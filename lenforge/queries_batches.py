@@ -240,13 +240,13 @@ def q_diversity(spark: SparkSession, sf: str) -> DataFrame:
     return select.diversity(v, "vec_id", "embedding", held, "held").withColumn("s_inter", F.round("s_inter", 6))
 
 
-_ZED = _DIV + ", z AS (SELECT vec_id, label, round((s_inter - avg(s_inter) OVER (PARTITION BY label)) / greatest(coalesce(stddev_samp(s_inter) OVER (PARTITION BY label), 0), 1e-6), 6) AS score FROM dist)"
+_ZED = _DIV + ", z AS (SELECT vec_id, label, round((s_inter - avg(s_inter) OVER (PARTITION BY label)) / greatest(coalesce(stddev_samp(s_inter) OVER (PARTITION BY label), 0), 1e-6), 6) + 0.0::DOUBLE AS score FROM dist)"
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     v, held = _vectors(spark, sf)
     d = select.diversity(v, "vec_id", "embedding", held, "held").join(v.select("vec_id", "label"), "vec_id")
-    return d.select("vec_id", "label", F.round(select.z_norm("s_inter", "label"), 6).alias("score"))
+    return d.select("vec_id", "label", (F.round(select.z_norm("s_inter", "label"), 6) + F.lit(0.0)).alias("score"))
 
 
 @query("q_znorm", f"WITH {_ZED} SELECT vec_id, label, score FROM z")
@@ -278,8 +278,8 @@ def q_nuclear_norm(spark: SparkSession, sf: str) -> DataFrame:
     return select.nuclear_norm(v, "item", "embedding")
 
 
-@query("q_masked_mean", """SELECT vec_id % 8 AS pool, d::INTEGER AS d, round(avg(embedding[d]), 5) AS mean FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS d) WHERE vec_id % 5 <> 0 GROUP BY ALL""")
+@query("q_masked_mean", """SELECT vec_id % 8 AS pool, d::INTEGER AS d, round(avg(embedding[d]::DOUBLE), 5) + 0.0::DOUBLE AS mean FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS d) WHERE vec_id % 5 <> 0 GROUP BY ALL""")
 def q_masked_mean(spark: SparkSession, sf: str) -> DataFrame:
     v = load(spark, sf, "embeddings").select((F.col("vec_id") % 8).alias("pool"), F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 5 != 0).cast("int").alias("mask"))
     m = select.masked_mean(v, "pool", "v", "mask")
-    return m.select("pool", F.posexplode("mean").alias("p", "m")).select("pool", (F.col("p") + 1).alias("d"), F.round("m", 5).alias("mean"))
+    return m.select("pool", F.posexplode("mean").alias("p", "m")).select("pool", (F.col("p") + 1).alias("d"), (F.round("m", 5) + F.lit(0.0)).alias("mean"))
