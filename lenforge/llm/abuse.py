@@ -205,7 +205,7 @@ class Words:
         ended = (c == STOP) & (_shift(c, -1, STOP) == SPACE) & (_shift(owner, -1, -1) == owner)
         own[owner[ended & (owner < k)]] = True
         quote = np.bincount(owner[c == QUOTE], minlength=k)[:k] > 0
-        rows, cols, vals = [], [], []
+        rows, cols, vals = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.float32)]
         mixed = [(c.astype(np.uint32) + np.uint32(1)) * h for h in _H[:4]]
         for offsets, weight in PATTERNS:
             m = len(c) - offsets[-1]
@@ -510,7 +510,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
     model = rows.repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    return np.frombuffer(model["weights"], dtype=np.float32), model["bias"]
+    # Without a single labelled text the task may see no rows: then the hand-labelled sentences alone are used.
+    return (np.frombuffer(model["weights"], dtype=np.float32), model["bias"]) if model else fit([], [])
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
