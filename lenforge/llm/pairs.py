@@ -262,13 +262,13 @@ def _shape(words: list[str]) -> list[str]:
 def end_features(fragment: str, known: set[str]) -> list[int]:
     """Hashed features of how a fragment ends."""
     words = fragment.split()
-    s = ["^", "^", *_shape(words)]
+    s = ["^", "^", "^", *_shape(words)]
     last = words[-1] if words else ""
-    opening = " ".join(s[2:4])
+    opening = " ".join(s[3:5])
     n = min(len(words), 40)
     tail = s[-1] if s[-1] in known or s[-1] in "#N" else "?"
     raw = (
-        f"a{s[-1]}", f"b{s[-2]} {s[-1]}", f"c{s[-3]} {s[-2]} {s[-1]}", f"d{last[-3:]}", f"e{tail}", f"f{opening}|{n}", f"g{s[2] if words else ''}|{n}", f"h{opening}|{tail}", f"i{s[-2]}|{tail == '?'}", f"j{opening}|{s[-2]}|{tail == '?'}", f"k{min(len(last), 12)}|{tail == '?'}", f"l{n}",
+        f"a{s[-1]}", f"b{s[-2]} {s[-1]}", f"c{s[-3]} {s[-2]} {s[-1]}", f"d{last[-3:]}", f"e{tail}", f"f{opening}|{n}", f"g{s[3] if words else ''}|{n}", f"h{opening}|{tail}", f"i{s[-2]}|{tail == '?'}", f"j{opening}|{s[-2]}|{tail == '?'}", f"k{min(len(last), 12)}|{tail == '?'}", f"l{n}",
     )
     return [zlib.crc32(f.encode("utf-8", "replace")) % DIMS for f in raw]
 
@@ -357,6 +357,9 @@ def is_truncated(text: str, n_words: int, weights: np.ndarray, known: set[str])
             if open_delimiters(body):
                 return True
     body = _trimmed(body)
+    # Dots that stand for what is missing end no sentence: the words before them decide.
+    if body.endswith(("…", "...")):
+        body = body.rstrip("….").rstrip()
     if not body:
         return False
     last = body[-1]

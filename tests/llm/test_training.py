@@ -40,7 +40,7 @@ def model():
         (ASK, "I cannot help with the first part. " + ENDS[0] + " " + ENDS[1], None), ("Write a message in which Ann declines the offer.", "I cannot help with this.", None),
         (ASK, "Die Kosten sanken, weil der Motor alt war und das Haus nicht mehr zu retten ist.", "wrong_language"), (ASK + " Answer in German.", "Die Kosten sanken, weil der Motor alt war und das Haus nicht mehr zu retten ist.", None),
         (ASK + " Answer in German.", " ".join(ENDS[:2]), "wrong_language"), (ASK, "```\nx = 1\n", "truncated"), (ASK, ENDS[0] + " " + ENDS[1][:-1], None), (ASK, ENDS[0] + " " + ENDS[1][:-12] + ",", "truncated"), (ASK, ENDS[0] + " The council decided to", "truncated"),
-        (ASK, ENDS[0] + " Most visitors first notice the old libr", "truncated"), (ASK, ENDS[0] + " (see above)", None), (ASK, '{"answer": "' + ENDS[0] + '", "steps": ["a", "b', "truncated"), (None, ENDS[0], None),
+        (ASK, ENDS[0] + " Most visitors first notice the old libr", "truncated"), (ASK, ENDS[0] + " (see above)", None), (ASK, ENDS[0] + " …", None), (ASK, ENDS[0] + " Most visitors first no...", "truncated"), (ASK, ENDS[0] + ' "', None), (ASK, '{"answer": "' + ENDS[0] + '", "steps": ["a", "b', "truncated"), (None, ENDS[0], None),
     ],
 )
 def test_defects(model, instruction, response, want):
