@@ -373,7 +373,7 @@ def is_truncated(text: str, n_words: int, weights: np.ndarray, known: set[str])
         window *= 2
     fragment = last_fragment(body[-window:])
     bare = fragment.rstrip("\"'”’»)]* ")
-    if (bare[-1:] or last) in _FINAL:
+    if not bare or bare[-1] in _FINAL:
         return False
     if open_delimiters(fragment) or last == "-" or last == ":":
         return True
