@@ -129,7 +129,9 @@ def test_split_table(spark):
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("sent", [neardup.SENT_ROWS, -1])
+def test_near_duplicates(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "SENT_ROWS", sent)  # by broadcast, and by shuffle
     rng = random.Random(3)
     rows, base = [], [[f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(5, 120))] for _ in range(25)]
     for k, words in enumerate(base):
