@@ -110,6 +110,23 @@ def copied(instruction: list[str], response: list[str], least: int = 2) -> tuple
     return len(covered) / max(1, len(response)), met
 
 
+@lru_cache(maxsize=None)
+def _repeat_request() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
+    any_of = lambda words: "|".join(re.escape(w.rstrip()) + (r"(?!\w)" if w.endswith(" ") else "") for w in words)
+    verb, opener = rf"[وف]?(?:{any_of(P.ASKS_REPEAT)})", "|".join(map(re.escape, P.OPENERS.split()))
+    leads = rf"(?:^|[,;،(\"“«-]|(?<!\w)(?:and|then|und|et|y|ثم)(?!\w))\W*(?:(?:{opener})(?!\w)\W*)*{verb}"
+    return re.compile(leads), re.compile(rf"(?<!\w)[وفب]?(?:{any_of(P.REPEAT_HOW)})"), re.compile(rf"^\W*(?:{any_of(P.VERB_LAST)})(?!\w).*(?<!\w){verb}")
+
+
+def asks_repeat(low: str) -> bool:
+    """Whether the request (the sentence before the first colon, the first or the last sentence) asks for the same, or nearly the same, text."""
+    at = low.find(":")
+    lead = _SENTENCE.split(low[:at])[-1:] if at >= 0 else []
+    parts = [s for s in _SENTENCE.split(low) if s and s.strip()]
+    leads, how, verb_last = _repeat_request()
+    return any(leads.search(s) or how.search(s) or verb_last.search(s) for s in (*lead, *parts[:1], *parts[-1:]))
+
+
 def is_copy(instruction: str, low: str, asked: list[str], words: list[str]) -> bool:
     if asked and words[:1] == ["instruction"]:
         words = words[1:]
@@ -126,7 +143,7 @@ def is_copy(instruction: str, low: str, asked: list[str], words: list[str]) -> b
         if sum(k in met for k in range(lead)) < max(2, lead / 2):
             return False
         return True
-    return not any(p in low for p in P.ASKS_REPEAT)
+    return not asks_repeat(low)
 
 
 # --- phrases ---------------------------------------------------------------------------------------------------------

@@ -47,8 +47,18 @@ REDIRECT = (
 )
 # Parts of words by which an instruction asks for a text that declines.
 ASKS_REFUSAL = ("declin", "refus", "turn down", "turns down", "reject", "say no", "says no", "apolog", "ablehn", "absag", "weiger", "rechaz", "negar", "negativa", "niega", "rehús", "rehus", "decliner", "décliner", "رفض", "يرفض", "ترفض", "اعتذار", "يعتذر")
-# Parts of words by which an instruction asks for the same, or nearly the same, text.
+# Beginnings of verbs by which an instruction asks for the same, or nearly the same, text; a space ends the word.
 ASKS_REPEAT = (
-    "repeat", "copy this", "copy the", "echo", "verbatim", "word for word", "same text", "exactly as", "proofread", "typo", "correct only", "correct the", "spelling", "fix the", "rewrite", "paraphras", "quote back", "wiederhol", "korrigier", "rechtschreib", "abschreib", "wörtlich",
-    "répét", "recopi", "corrige", "orthograph", "mot pour mot", "repite", "copia", "ortograf", "palabra por palabra", "كرر", "انسخ", "صحح", "أعد كتابة", "حرفيا", "الإملاء",
+    "repeat", "copy this ", "copy the ", "echo ", "proofread", "correct ", "fix the ", "rewrite", "paraphras", "quote back", "wiederhol", "korrigier", "abschreib", "répét", "répèt", "recopi", "corrige", "corrija", "repite", "repita", "copia ", "copie ",
+    "كرر", "انسخ", "صحح", "أعد كتابة",
 )
+# Beginnings of words that say so wherever they stand in the request.
+REPEAT_HOW = (
+    "verbatim", "word for word", "same text", "exactly as", "typo ", "typos ", "correct only", "spelling", "rechtschreib", "wörtlich", "orthograph", "mot pour mot", "ortograf", "palabra por palabra", "حرفيا", "الإملاء",
+)
+# Words before the verb of a request.
+OPENERS = (
+    "please kindly now then just simply first and or also to can could would will you i'd i want need like let's bitte nun dann und oder kannst könntest du sie zu s'il te vous plaît veuillez peux tu pouvez et puis à por favor puedes podrías y luego a من فضلك ثم هل يمكنك"
+)
+# Openers of sentences whose verb may come last.
+VERB_LAST = ("bitte", "kannst", "könntest", "können", "könnten", "würdest", "würden", "ich möchte")

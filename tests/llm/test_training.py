@@ -47,6 +47,22 @@ def test_defects(model, instruction, response, want):
     assert pairs.defect(instruction, response, *model) == want
 
 
+NARROW = "Compara el trineo famoso con el motor del valle. Supón que el filtro sigue estrecho. Escribe como el abuelo hablaría con el vecino del barco."
+TEXT = "The council decided to improve every workshop near the river and the cost fell a lot"
+
+
+@pytest.mark.parametrize(
+    ("instruction", "response", "want"),
+    [
+        (NARROW, NARROW, "copy"), (NARROW, NARROW.replace("motor", "tapiz"), "copy"), (ASK.replace("clean", "hear an echo in"), ASK.replace("clean", "hear an echo in"), "copy"),
+        ("Explain how to fix the old pump. " + ASK, "Explain how to fix the old pump. " + ASK, "copy"), ("Please proofread this note.\n" + TEXT + ".", TEXT + ".", None), ("Could you please fix the typos?\n" + TEXT + ".", TEXT + ".", None),
+        (TEXT + ".\nNow repeat it.", TEXT + ".", None), (TEXT + ".\nGive it back word for word.", TEXT + ".", None), ("Kannst du den Text wiederholen?\n" + TEXT + ".", TEXT + ".", None), ("Por favor, copia el texto.\n" + NARROW, NARROW, None),
+    ],
+)
+def test_copies_unless_the_request_is_to_repeat(model, instruction, response, want):
+    assert pairs.defect(instruction, response, *model) == want
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(1)
     for _ in range(200):
