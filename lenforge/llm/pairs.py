@@ -4,7 +4,7 @@ empty           nothing that answers: no letters or digits, or a placeholder for
 copy            a suffix automaton of the instruction's words is traversed with the response; most of it is covered by copied runs
 refusal         phrase automata find sentences that decline, and no sentence answers
 wrong_language  votes of function words (or the script) name another language than the instruction's or the one it asks for
-truncated       a stack of delimiters stays open, or the last words break off
+truncated       a stack of delimiters stays open, a list ends in an empty item, or the last words break off
 
 A last sentence without a final mark is judged by a linear model of sentence ends, fitted on whole and cut sentences of a
 bounded sample of responses (``SAMPLE_ROWS``, chosen by a hash of the key): it separates a missing mark from a sentence that breaks off.
@@ -41,6 +41,11 @@ _FENCED = re.compile(r"```.*?```", re.S)
 _FINAL = ".!?؟。…‽"
 _SENTENCE = re.compile(r"(?<=[.!?؟。…])[\"'”’»)\]]*\s+|\n+")
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+")
+#: A line of only a list mark, with what marks up its text at most; and the mark of a line that has text.
+_BARE = re.compile(r"(?:^|\n)[^\S\n]*([-*•–]|(?:\d{1,3}|[A-Za-z])[.)])[^\S\n]*[*_`\"“«(\[]*\Z")
+_MARKED = re.compile(r"^[^\S\n]*([-*•–]|(?:\d{1,3}|[A-Za-z])[.)])[^\S\n]+\S", re.M)
+#: Brackets that open nothing: faces, single quoted ones and code, intervals that are open at one end.
+_NO_BRACKET = re.compile(r"(?<!\S)[:;]['’]?-?[(\[{]+(?!\S)|`[^`\n]*`|([\"'])[()\[\]{}]\1|[“‘«][()\[\]{}][”’»]|\([^()\[\]\n]{1,40},[^()\[\]\n]{1,40}\]|\[[^()\[\]\n]{1,40},[^()\[\]\n]{1,40}\)|\][^()\[\]\n]{1,40},[^()\[\]\n]{1,40}\[")
 _ARABIC = re.compile(r"[؀-ۿ]+")
 _MARKS = frozenset(".,;:!?؟،؛…。–—-()[]{}<>\"'”’»«“`=+*/\\|&@#%$_")
 #: What may stand after the last sentence without belonging to it: a link, a short remark in brackets or quotes.
@@ -258,6 +263,19 @@ def open_delimiters(text: str) -> bool:
     return bool(stack)
 
 
+def empty_item(text: str) -> bool:
+    """Whether a list ends in a mark without text: the next number or letter, or the mark of the item before it."""
+    m = _BARE.search(text, max(0, len(text) - 40))
+    before = _MARKED.findall(text[: m.start()]) if m else []
+    if not before:
+        return False
+    mark, prior = m.group(1), before[-1]
+    if mark == prior or mark[-1] != prior[-1]:
+        return mark == prior
+    a, b = prior[:-1], mark[:-1]
+    return int(b) == int(a) + 1 if a.isdigit() and b.isdigit() else len(a) == len(b) == 1 and ord(b) == ord(a) + 1
+
+
 def last_fragment(text: str) -> str:
     """The last sentence or item, without its marker."""
     parts = [p for p in _SENTENCE.split(text) if p and p.strip()]
@@ -379,6 +397,8 @@ def is_truncated(text: str, n_words: int, weights: np.ndarray, known: set[str])
         body = body.rstrip("….").rstrip()
     if not body:
         return False
+    if empty_item(body) or open_delimiters(_NO_BRACKET.sub("", body)):
+        return True
     last = body[-1]
     if last in ",،;؛–—(":
         return True
@@ -392,7 +412,7 @@ def is_truncated(text: str, n_words: int, weights: np.ndarray, known: set[str])
     bare = fragment.rstrip("\"'”’»)]* ")
     if not bare or bare[-1] in _FINAL:
         return False
-    if open_delimiters(fragment) or last == "-" or last == ":":
+    if last == "-" or last == ":":
         return True
     return float(weights[end_features(bare, known)].sum()) > CUT_ABOVE
 

@@ -63,6 +63,17 @@ def test_copies_unless_the_request_is_to_repeat(model, instruction, response, wa
     assert pairs.defect(instruction, response, *model) == want
 
 
+@pytest.mark.parametrize(
+    ("end", "cut"),
+    [
+        ("\n1. " + ENDS[1] + "\n2.", True), ("\n1) " + ENDS[1] + "\n2) **", True), ("\n- " + ENDS[1] + "\n-", True), ("\na) " + ENDS[1] + "\nb)", True), ("\n1. Yes.\n2.", True), ("\n1. " + ENDS[1] + "\n7.", False), ("\nThe sum is\n42.", False), ("\n1. " + ENDS[1], False),
+        (" The tower (see the map of the town. " + ENDS[1], True), (" The tower [see the map. " + ENDS[1], True), (" The tower (see the map). " + ENDS[1], False), (" It lies in [0, 1) or in (2, 3]. " + ENDS[1], False), (" Sad :( but true. " + ENDS[1], False), (" The mark '(' opens it. " + ENDS[1], False), (" The set (of a = 2018(5 + 3 holds. " + ENDS[1], True), (" Type `f(` first. " + ENDS[1], False),
+    ],
+)
+def test_empty_last_items_and_open_brackets_before_a_final_mark(model, end, cut):
+    assert pairs.defect(ASK, ENDS[0] + end, *model) == ("truncated" if cut else None)
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(1)
     for _ in range(200):
