@@ -8,6 +8,7 @@ truncated       a stack of delimiters stays open, a list ends in an empty item,
 
 A last sentence without a final mark is judged by a linear model of sentence ends, fitted on whole and cut sentences of a
 bounded sample of responses (``SAMPLE_ROWS``, chosen by a hash of the key): it separates a missing mark from a sentence that breaks off.
+The words it knows are counted over the complete sentences of all responses; they reach it as eight bytes each.
 
 A pair has one defect at most, the first in the order above. Defined results: a null response is empty; a null instruction asks
 for nothing (no copy, no language); a sample delivered repeatedly counts once (earliest loaded); rows of null key are left out; texts are
@@ -20,8 +21,9 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import ahocorasick
 import numpy as np
@@ -33,6 +35,8 @@ from lenforge.llm import phrases as P
 
 SAMPLE_ROWS = 3000
 DIMS = 1 << 18
+#: Words a counting task holds before it hands on its counts.
+HELD_WORDS = 1_000_000
 #: Log-odds from which a fragment without a final mark counts as broken off.
 CUT_ABOVE = 1.0
 _WORD = re.compile(r"\w+(?:['’]\w+)?")
@@ -285,7 +289,7 @@ def last_fragment(text: str) -> str:
 def _shape(words: list[str]) -> list[str]:
     out = []
     for k, w in enumerate(words):
-        if any(c.isdigit() for c in w):
+        if not w.isalpha() and any(c.isdigit() for c in w):
             out.append("#")
         elif k and w[:1].isupper():
             out.append("N")
@@ -294,7 +298,26 @@ def _shape(words: list[str]) -> list[str]:
     return out
 
 
-def end_features(fragment: str, known: set[str]) -> list[int]:
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+class Vocabulary:
+    """Words by their sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.int64))
+
+    def __contains__(self, word: str) -> bool:
+        h = word_hash(word)
+        at = int(np.searchsorted(self.hashes, h))
+        return at < len(self.hashes) and int(self.hashes[at]) == h
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
+def end_features(fragment: str, known: Container[str]) -> list[int]:
     """Hashed features of how a fragment ends."""
     words = fragment.split()
     s = ["^", "^", "^", *_shape(words)]
@@ -319,15 +342,54 @@ def sentences_of(text: str) -> list[str]:
     return out
 
 
-def fit_ends(texts: list[str], seed: int = 5, rounds: int = 80) -> tuple[np.ndarray, set[str]]:
-    """Weights of a logistic model (positive: broken off), and the words the sample holds more than once."""
+def count_words(seen: dict[str, tuple[int, int] | None], key: int, row: int, text: str) -> None:
+    """Notes the words of complete sentences by the row that holds them; None once a word is seen again, other than in a repeated row."""
+    for s in sentences_of(text):
+        for w in _shape(s.split()):
+            at = seen.get(w, ())
+            if at == ():
+                seen[w] = key, row
+            elif at is not None and (at[0] != key or at[1] == row):
+                seen[w] = None
+
+
+def vocabulary(samples: DataFrame, key: str) -> Vocabulary:
+    """Words that complete sentences of all responses hold more than once; a sample delivered repeatedly counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[int, int] | None] = {}
+        row = 0
+
+        def counts() -> pa.RecordBatch:
+            hashes, at = [word_hash(w) for w in seen], list(seen.values())
+            keys = pa.array([None if a is None else a[0] for a in at], pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), keys], names=["word", "key"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for k, text in zip(batch.column("key").to_pylist(), batch.column("response").to_pylist(), strict=True):
+                row += 1
+                count_words(seen, k, row, text)
+                if len(seen) >= HELD_WORDS:
+                    yield counts()
+        yield counts()
+
+    rows = samples.where(F.col(key).isNotNull() & F.col("response").isNotNull()).select(F.xxhash64(key).alias("key"), "response")
+    words = rows.mapInArrow(run, "word bigint, key bigint").groupBy("word")
+    again = words.agg(F.bool_or(F.col("key").isNull()).alias("again"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("again OR lo <> hi")
+    return Vocabulary(again.select("word").toArrow().column("word").to_numpy())
+
+
+def fit_ends(texts: list[str], seed: int = 5, rounds: int = 80, known: Container[str] | None = None) -> tuple[np.ndarray, Container[str]]:
+    """Weights of a logistic model (positive: broken off), and the words it knows: ``known``, or those the texts hold more than once."""
     rng = np.random.default_rng(seed)
     whole = [s for t in texts for s in sentences_of(t)]
-    count: dict[str, int] = {}
-    for s in whole:
-        for w in _shape(s.split()):
-            count[w] = count.get(w, 0) + 1
-    known = {w for w, c in count.items() if c > 1}
+    if known is None:
+        seen: dict[str, tuple[int, int] | None] = {}
+        for i, t in enumerate(texts):
+            count_words(seen, i, i, t)
+        known = {w for w, at in seen.items() if at is None}
     rows, labels = [], []
     for s in whole:
         words = s.split()
@@ -376,7 +438,7 @@ def _trimmed(body: str) -> str:
         body = before
 
 
-def is_truncated(text: str, n_words: int, weights: np.ndarray, known: set[str]) -> bool:
+def is_truncated(text: str, n_words: int, weights: np.ndarray, known: Container[str]) -> bool:
     body = text.strip()
     if "```" in body:
         if body.count("```") % 2:
@@ -420,7 +482,7 @@ def is_truncated(text: str, n_words: int, weights: np.ndarray, known: set[str])
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
-def defect(instruction: str | None, response: str | None, weights: np.ndarray, known: set[str]) -> str | None:
+def defect(instruction: str | None, response: str | None, weights: np.ndarray, known: Container[str]) -> str | None:
     """The defect of one pair, or None."""
     instruction, response = instruction or "", response or ""
     low = response.lower()
@@ -456,7 +518,7 @@ def broken_pairs(samples: DataFrame, key: str = "sample_id", sample_rows: int =
     hashed = F.xxhash64(key)
     top = named.select(hashed.alias("_h")).orderBy("_h").limit(sample_rows).agg(F.max("_h").alias("h")).first()["h"]
     fit = sorted(named.where(hashed <= F.lit(top)).where("response IS NOT NULL").select(hashed.alias("_h"), "response").collect()) if top is not None else []
-    shared = samples.sparkSession.sparkContext.broadcast(fit_ends([r.response for r in fit]))
+    shared = samples.sparkSession.sparkContext.broadcast(fit_ends([r.response for r in fit], known=vocabulary(named, key)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = shared.value

@@ -90,6 +90,19 @@ def test_broken_pairs_table(spark):
     assert pairs.broken_pairs(df.where("false")).count() == 0
 
 
+def test_known_words_are_counted_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "HELD_WORDS", 3)
+    rows = [(1, "The council likes every zebra. It also likes every zebra."), (2, "The river is wide and otterly."), (2, "The river is wide and otterly."), (3, "Nobody there has seen a quokka."), (4, "Somebody there has seen a quokka."), (5, "It breaks off at the wombat and"), (6, "It breaks off at the wombat and"), (7, None)]
+    df = spark.createDataFrame(rows, "sample_id bigint, response string").repartition(3)
+    known = pairs.vocabulary(df, "sample_id")
+    assert all(w in known for w in ("zebra", "quokka", "the", "seen")) and not any(w in known for w in ("otterly", "wombat", "nobody", "river"))
+    # Words outside the sample for the weights are known as well.
+    got = {}
+    monkeypatch.setattr(pairs, "fit_ends", lambda texts, known: got.update(texts=len(texts), known=known) or (np.zeros(pairs.DIMS), set()))
+    pairs.broken_pairs(df.withColumn("instruction", F.lit(ASK)), sample_rows=1)
+    assert got["texts"] <= 2 and "zebra" in got["known"] and "quokka" in got["known"]
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
