@@ -25,8 +25,8 @@ def role(col: Column) -> Column:
     return out
 
 
-def alpaca(rows: DataFrame) -> DataFrame:
-    return rows.select(strip(filled(F.col("instruction"))).alias("instruction"), strip(filled(F.col("input"))).alias("context"), strip(filled(F.col("output"), F.col("response"))).alias("response"))
+def alpaca(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select(*keep, strip(filled(F.col("instruction"))).alias("instruction"), strip(filled(F.col("input"))).alias("context"), strip(filled(F.col("output"), F.col("response"))).alias("response"))
 
 
 def pair(rows: DataFrame, prompt: str, response: str, context: str | None) -> DataFrame:

@@ -40,6 +40,21 @@ def q_alpaca_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sample_id", get("instruction").alias("instruction"), get("context").alias("context"), get("response").alias("response")).where(parsers.VALID)
 
 
+# Unicode white space, as parsers strip it.
+_SPACE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query("q_alpaca_sources", f"""WITH stripped AS (SELECT sample_id, dataset, {", ".join(f"regexp_replace(coalesce({c}, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS {c}" for c in ("instruction", "context", "response"))}
+  FROM raw_samples JOIN source_catalog ON dataset = name WHERE format = 'alpaca')
+SELECT * FROM stripped WHERE length(instruction) > 0 AND length(response) > 0""")
+def q_alpaca_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of every source whose format is alpaca, through its parser."""
+    names = load(spark, sf, "source_catalog").where("format = 'alpaca'").select(F.col("name").alias("dataset"))
+    rows = load(spark, sf, "raw_samples").join(F.broadcast(names), "dataset")  # one row per source
+    raw = rows.select("sample_id", "dataset", "instruction", F.col("context").alias("input"), "response", F.lit(None).cast("string").alias("output"))
+    return parsers.alpaca(raw, ("sample_id", "dataset")).where(parsers.VALID)
+
+
 @query("q_pair_parse", """SELECT doc_id, trim(source) AS instruction, '' AS context, trim(text) AS response FROM documents
 WHERE length(trim(coalesce(source, ''))) > 0 AND length(trim(coalesce(text, ''))) > 0""")
 def q_pair_parse(spark: SparkSession, sf: str) -> DataFrame:
