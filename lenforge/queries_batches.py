@@ -266,6 +266,27 @@ def q_topk_global(spark: SparkSession, sf: str) -> DataFrame:
     return select.top_global(rows, "rank", "score", "vec_id", 8, 4).select("label", "vec_id")
 
 
+def _selected(spark: SparkSession, sf: str, shared: bool) -> DataFrame:
+    """Items of two vectors, 64 of them in a pool of each of two ranks; the first pool falls in the warm-up. Settings as in production."""
+    item = F.floor(F.col("vec_id") / 2)
+    rows = load(spark, sf, "embeddings").select(item.alias("item"), (F.col("vec_id") % 2).alias("pos"), "embedding", (F.col("vec_id") % 5 != 0).cast("int").alias("mask"))
+    scores = select.item_scores(rows, "item", "pos", "embedding", "mask", 64)
+    at = scores.withColumn("step", F.lit(select.SelectConfig().warm_up - 1) + F.floor(F.col("item") / 128)).withColumn("rank", F.col("item") % 2)
+    return select.select_pools(at, "step", "rank", "item", shared)
+
+
+@query("q_select_local")
+def q_select_local(spark: SparkSession, sf: str) -> DataFrame:
+    """Selection by utility and diversity, each rank for itself."""
+    return _selected(spark, sf, False)
+
+
+@query("q_select_global")
+def q_select_global(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all ranks, with a shared buffer."""
+    return _selected(spark, sf, True)
+
+
 @query("q_jl_projection")
 def q_jl_projection(spark: SparkSession, sf: str) -> DataFrame:
     return select.fast_jl(load(spark, sf, "embeddings"), "vec_id", "embedding", 64)

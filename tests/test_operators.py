@@ -71,6 +71,43 @@ def test_selection(spark):
     assert once.count() == 2 and select.commit(once, chosen, 1).first().key == 6
 
 
+def test_selection_by_utility_and_diversity(spark):
+    rng = np.random.default_rng(3)
+    cfg = select.SelectConfig(top=3, capacity=5, project_to=4, stage_one=4, stage_two=2, warm_up=2, alpha=0.7)
+    data = [(i, p, [float(x) for x in rng.standard_normal(6)], int(p < 2)) for i in range(64) for p in range(3)]
+    rows = spark.createDataFrame(data, "item int, pos int, v array<double>, mask int")
+    scores = select.item_scores(rows, "item", "pos", "v", "mask", 6, cfg)
+    intra, z = {}, {}
+    r, g = select.projection(6, 4, cfg.seed + 1), select.projection(6, 4, cfg.seed) @ select.projection(4, 2, cfg.seed + 1)
+    for i in range(64):
+        m = np.array([d[2] for d in data if d[0] == i and d[3]])
+        intra[i], z[i] = np.linalg.svd(m @ r, compute_uv=False).sum(), m.mean(axis=0) @ g
+    got = {x.item: x for x in scores.collect()}
+    assert all(abs(got[i].s_intra - intra[i]) < 1e-9 and np.allclose(got[i].z, z[i]) for i in range(64))
+    items = scores.withColumn("step", F.floor(F.col("item") / 16)).withColumn("rank", F.col("item") % 2)
+    for shared in (False, True):
+        found = {(x.step, x.rank, x.item) for x in select.select_pools(items, "step", "rank", "item", shared, cfg).collect()}
+        want = {(i // 16, i % 2, i) for i in range(32)}
+        buffers = {}
+        for step in (2, 3):
+            score = {}
+            for rank in (0, 1):
+                pool = [i for i in range(step * 16, step * 16 + 16) if i % 2 == rank]
+                held = buffers.get(0 if shared else rank, [])
+                inter = np.array([np.mean([np.linalg.norm(z[i] - z[b]) for b in held]) if held else 0.0 for i in pool])
+                u = np.array([intra[i] for i in pool])
+                norm = lambda x: (x - x.mean()) / max(x.std(ddof=1), 1e-6)
+                score |= {(rank, i): t for i, t in zip(pool, norm(u) + 0.7 * norm(inter), strict=True)}
+            bar = sorted(score.values())[-6] if shared else -np.inf
+            for rank in (0, 1):
+                best = sorted((k for k in score if k[0] == rank and score[k] >= bar), key=lambda k: -score[k])[:3]
+                want |= {(step, rank, i) for _, i in best}
+                name = 0 if shared else rank
+                buffers[name] = (buffers.get(name, []) + sorted(i for _, i in best))[-5:]
+        assert found == want
+    assert select.select_pools(items.where("false"), "step", "rank", "item", True, cfg).count() == 0
+
+
 def test_stream_emits_every_row_once(spark, tmp_path):
     for s in range(5):
         spark.range(s * 70, s * 70 + 70).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("band"), F.col("id").alias("total_len")).coalesce(1).write.parquet(str(tmp_path / f"in/s{s}"))
