@@ -33,6 +33,8 @@ from lenforge.llm.labelled import ABUSIVE, HARMLESS
 
 LABELLED_DOCS, LANDMARKS, ROUNDS = 8000, 1000, 3
 BITS = 20
+# What opens a line as the name of a role or part, lower case.
+LABELS = frozenset("system: user: human: prompter: assistant: gpt: bot: model: instruction: input: context: response: output: question: answer: q: a:".split())
 GAP, WORD = 0.7, 1.6
 BLANK_SCORE = -1.0
 #: Characters taken through the arrays at once.
@@ -242,13 +244,13 @@ class Words:
 
 
 def tokens_of(text: str) -> list[str]:
-    """White-space separated words; a line end, and what opens a line as the name of a part, end a sentence."""
+    """White-space separated words; a line end, and marks of a heading and the name of a role or part that open a line, end a sentence. Other openers are words."""
     out: list[str] = []
     for line in text.splitlines():
         words = line.split()
-        if words and words[0][0] == "#":
+        if words and not words[0].strip("#"):
             words = words[1:]
-        if words and words[0][-1] == ":":
+        if words and words[0].lstrip("#").lower() in LABELS:
             words = words[1:]
         out += words
         out.append("\n")

@@ -320,6 +320,10 @@ def test_abuse(abuse_model, text, bad):
     assert (abuse.score_texts([text], *abuse_model)[0] > 0) == bad
 
 
+def test_only_labels_are_no_words():
+    assert abuse.tokens_of("### Response: yes\n#Answer: no\nUser: hello\n#morons all\nIdiots: you\n# Idiots: you") == ["yes", "\n", "no", "\n", "hello", "\n", "#morons", "all", "\n", "Idiots:", "you", "\n", "Idiots:", "you", "\n"]
+
+
 def test_abuse_scores_do_not_depend_on_neighbours(abuse_model):
     rng = random.Random(8)
     texts = [" ".join(rng.sample([*abuse.ABUSIVE, *abuse.HARMLESS], 3)) for _ in range(40)] + [None, "x " * 5000, "!!! ???", "​"]
