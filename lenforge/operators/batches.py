@@ -72,17 +72,28 @@ def compare(ours: DataFrame, base: DataFrame) -> DataFrame:
     return both.withColumn("padded_reduction_pct", cut("padded_tokens", "base_padded_tokens")).withColumn("cost_reduction_pct", cut("proxy_cost", "base_proxy_cost"))
 
 
-def collated(rows: DataFrame, multiple: int = 8, pad_id: int = 0, ignore: int = -100) -> DataFrame:
-    """Padded ids, attention mask and labels per row; the batch's width comes from lengths alone, before any array is read."""
-    w = Window.partitionBy("batch_id")
-    width = L.round_up(F.greatest(F.lit(1), F.max("total_len").over(w)), multiple)
+def collated(rows: DataFrame, multiple: int = 8, pad_id: int = 0, ignore: int = -100, window: str | None = None) -> DataFrame:
+    """Padded ids, attention mask and labels per row; the batch's width comes from lengths alone, before any array is read.
+
+    For chunked batches, ``window`` names the column of their budget: a row keeps its whole prompt, then context and response up to
+    the budget; the width is the budget, rounded up, whatever the rows hold, and cuts a prompt that is longer.
+    """
+    if window is None:
+        w = Window.partitionBy("batch_id")
+        width = L.round_up(F.greatest(F.lit(1), F.max("total_len").over(w)), multiple)
+    else:
+        width = L.round_up(F.col(window), multiple)
     at = rows.withColumn("width", width)
-    ids = F.concat(*(F.coalesce(F.col(c), F.array().cast("array<int>")) for c in ("prompt_ids", "context_ids", "response_ids")))
-    answer = F.coalesce(F.col("response_ids"), F.array().cast("array<int>"))
+    zone = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
+    prompt, answer = zone("prompt_ids"), zone("response_ids")
+    ids, before = F.concat(prompt, zone("context_ids"), answer), F.size(prompt) + F.size(zone("context_ids"))
     wide = F.col("width")
+    if window is not None:
+        kept = F.least(F.greatest(F.size(prompt), F.least(F.size(ids), F.col(window))), wide).cast("int")
+        ids, answer, before = F.slice(ids, F.lit(1), kept), F.slice(answer, F.lit(1), F.greatest(F.lit(0), kept - before)), F.least(before, kept)
     return at.select(
         *[c for c in ("batch_id", "sample_id", "config_id", "width") if c in at.columns], L.padded_ids(ids, wide, pad_id).alias("input_ids"), L.attention_mask(F.size(ids), wide).alias("attention_mask"),
-        L.labels(F.size(ids) - F.size(answer), answer, wide, ignore).alias("labels"),
+        L.labels(before, answer, wide, ignore).alias("labels"),
     )
 
 

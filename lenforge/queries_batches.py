@@ -178,6 +178,23 @@ def q_collate_labels(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("kept > 0")
 
 
+@query("q_collate_chunked", """WITH c AS (SELECT sample_id, config_id, config_id::VARCHAR || '-' || (sample_id // 8)::VARCHAR AS batch_id, option_b_window AS b, ((option_b_window + 7) // 8) * 8 AS width, len(coalesce(prompt_ids, [])) AS p,
+  len(coalesce(prompt_ids, [])) + len(coalesce(context_ids, [])) AS pc, list_concat(list_concat(coalesce(prompt_ids, []), coalesce(context_ids, [])), coalesce(response_ids, [])) AS ids, max_seq_length FROM tokenized JOIN build_config USING (config_id)),
+k AS (SELECT *, CASE WHEN p >= b THEN least(p, width) ELSE least(len(ids), b) END AS n FROM c WHERE len(ids) > max_seq_length)
+SELECT batch_id, sample_id, config_id, width::BIGINT AS width, n::BIGINT AS ones, greatest(0, n - pc)::BIGINT AS kept, list_sum(list_transform(range(1, n + 1), lambda i: ids[i]::BIGINT * i))::BIGINT AS id_sum,
+  coalesce(list_sum(list_transform(range(pc + 1, n + 1), lambda i: ids[i]::BIGINT * i)), 0)::BIGINT AS label_sum FROM k""")
+def q_collate_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunked collation of the rows over the limit of their config; the sums weigh each id by its place."""
+    limits = load(spark, sf, "build_config").select("config_id", "max_seq_length", "option_b_window")
+    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    rows = load(spark, sf, "tokenized").withColumn("total_len", size("prompt_ids") + size("context_ids") + size("response_ids"))
+    over = rows.join(F.broadcast(limits), "config_id").where("total_len > max_seq_length")  # one row per config
+    c = batches.collated(over.withColumn("batch_id", F.concat_ws("-", "config_id", F.floor(F.col("sample_id") / 8))), window="option_b_window")
+    total = lambda col, v: F.aggregate(F.transform(col, lambda x, i: F.when(x != v, x.cast("long") * (i + 1)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    ones = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, x: s + x)
+    return c.select("batch_id", "sample_id", "config_id", "width", ones.alias("ones"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("kept"), total("input_ids", 0).alias("id_sum"), total("labels", -100).alias("label_sum"))
+
+
 @query("q_chunk_window", """SELECT sample_id, config_id, (CASE WHEN prompt_len >= 256 THEN least(prompt_len, 256) ELSE least(total_len, 256) END)::BIGINT AS real_tokens,
   (CASE WHEN prompt_len >= 256 THEN 0 ELSE greatest(0, least(total_len, 256) - prompt_len - context_len) END)::BIGINT AS loss_tokens
 FROM token_lengths WHERE total_len > 256 AND prompt_len IS NOT NULL AND context_len IS NOT NULL""")

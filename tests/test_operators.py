@@ -47,6 +47,16 @@ def test_collation(spark):
     assert got[1].labels == [-100] * 3 + [4, 5] + [-100] * 11 and got[2].labels == [-100] * 6 + [7] * 5 + [-100] * 5
 
 
+def test_chunked_collation(spark):
+    rows = spark.createDataFrame([("b", 1, [1] * 4, [2] * 3, [3] * 9, 10), ("b", 2, [1] * 30, [2], [3], 10), ("b", 3, [1] * 12, [2], [3], 10), ("b", 4, [1], None, [3, 4], 10)], "batch_id string, sample_id int, prompt_ids array<int>, context_ids array<int>, response_ids array<int>, budget int")
+    got = {r.sample_id: r for r in batches.collated(rows, window="budget").collect()}
+    assert all(r.width == len(r.input_ids) == len(r.attention_mask) == len(r.labels) == 16 for r in got.values())
+    assert got[1].input_ids == [1] * 4 + [2] * 3 + [3] * 3 + [0] * 6 and got[1].labels == [-100] * 7 + [3] * 3 + [-100] * 6 and sum(got[1].attention_mask) == 10
+    assert got[2].input_ids == [1] * 16 and got[2].labels == [-100] * 16
+    assert got[3].input_ids == [1] * 12 + [0] * 4 and got[3].labels == [-100] * 16
+    assert got[4].input_ids == [1, 3, 4] + [0] * 13 and got[4].labels == [-100, 3, 4] + [-100] * 13
+
+
 def test_lengths(spark):
     r = spark.createDataFrame([(300, 10, 0)], "t int, p int, c int")
     assert r.select(L.chunk_bounds(F.col("t"), 100)).first()[0] == [100, 200]
