@@ -236,10 +236,10 @@ def q_epoch_estimate(spark: SparkSession, sf: str) -> DataFrame:
 # --- selection -------------------------------------------------------------------------------------------------------
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and the buffer of the last 16 by vec_id."""
+def _vectors(spark: SparkSession, sf: str, capacity: int = 16) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the buffer of the last ones by vec_id."""
     v = load(spark, sf, "embeddings")
-    return v, select.last(v.select("vec_id", F.col("embedding").alias("held")), "vec_id", 16)
+    return v, select.last(v.select("vec_id", F.col("embedding").alias("held")), "vec_id", capacity)
 
 
 _DIV = """held AS (SELECT embedding AS h FROM embeddings ORDER BY vec_id DESC LIMIT 16),
@@ -260,8 +260,8 @@ def q_diversity(spark: SparkSession, sf: str) -> DataFrame:
 _ZED = _DIV + ", z AS (SELECT vec_id, label, round((s_inter - avg(s_inter) OVER (PARTITION BY label)) / greatest(coalesce(stddev_samp(s_inter) OVER (PARTITION BY label), 0), 1e-6), 6) + 0.0::DOUBLE AS score FROM dist)"
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    v, held = _vectors(spark, sf)
+def _scored(spark: SparkSession, sf: str, capacity: int = 16) -> DataFrame:
+    v, held = _vectors(spark, sf, capacity)
     d = select.diversity(v, "vec_id", "embedding", held, "held").join(v.select("vec_id", "label"), "vec_id")
     return d.select("vec_id", "label", (F.round(select.z_norm("s_inter", "label"), 6) + F.lit(0.0)).alias("score"))
 
@@ -283,6 +283,29 @@ def q_topk_global(spark: SparkSession, sf: str) -> DataFrame:
     return select.top_global(rows, "rank", "score", "vec_id", 8, 4).select("label", "vec_id")
 
 
+# The same with the buffer and the number of chosen rows of SelectConfig.
+_FULL = select.SelectConfig()
+_DIV_FULL, _ZED_FULL = (x.replace("LIMIT 16)", f"LIMIT {_FULL.capacity})") for x in (_DIV, _ZED))
+
+
+@query("q_diversity_full", f"WITH {_DIV_FULL} SELECT vec_id, round(s_inter, 6) AS s_inter FROM dist")
+def q_diversity_full(spark: SparkSession, sf: str) -> DataFrame:
+    v, held = _vectors(spark, sf, _FULL.capacity)
+    return select.diversity(v, "vec_id", "embedding", held, "held", _FULL.capacity).withColumn("s_inter", F.round("s_inter", 6))
+
+
+@query("q_topk_local_full", f"WITH {_ZED_FULL} SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM z) WHERE r <= {_FULL.top}")
+def q_topk_local_full(spark: SparkSession, sf: str) -> DataFrame:
+    return select.top_local(_scored(spark, sf, _FULL.capacity), "label", "score", "vec_id", _FULL.top).select("label", "vec_id")
+
+
+@query("q_topk_global_full", f"""WITH {_ZED_FULL}, t AS (SELECT min(score) AS t FROM (SELECT score FROM z ORDER BY score DESC LIMIT {4 * _FULL.top})),
+k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label % 4 ORDER BY score DESC, vec_id) AS r FROM z, t WHERE score >= t) SELECT label, vec_id FROM k WHERE r <= {_FULL.top}""")
+def q_topk_global_full(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _scored(spark, sf, _FULL.capacity).withColumn("rank", F.col("label") % 4)
+    return select.top_global(rows, "rank", "score", "vec_id", _FULL.top, 4).select("label", "vec_id")
+
+
 def _selected(spark: SparkSession, sf: str, shared: bool) -> DataFrame:
     """Items of two vectors, 64 of them in a pool of each of two ranks; the first pool falls in the warm-up. Settings as in production."""
     item = F.floor(F.col("vec_id") / 2)

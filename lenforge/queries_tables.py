@@ -220,6 +220,15 @@ def q_shard_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "total_len", "band", F.col("shard_id").cast("long").alias("shard_id"), "sample_idx")
 
 
+@query("q_shard_round_trip_ranks", f"WITH {_SHARDED} SELECT doc_id, total_len, band::INTEGER AS band, shard_id::BIGINT AS shard_id, sample_idx::BIGINT AS sample_idx, (shard_id % 2)::INTEGER AS rank FROM sharded")
+def q_shard_round_trip_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """All shards read back, by each of two ranks through partition pruning."""
+    path = work_folder(spark)
+    readers.write_shards(sharded(spark, sf), path)
+    one, two = (spark.read.parquet(path).where(f"shard_id % 2 = {r}").withColumn("rank", F.lit(r)) for r in range(2))
+    return one.unionByName(two).select("doc_id", "total_len", "band", F.col("shard_id").cast("long").alias("shard_id"), "sample_idx", "rank")
+
+
 _ASSIGNED = _SHARDED + """, placed AS (SELECT shard_id, row_number() OVER (ORDER BY md5('1234-0-' || shard_id::VARCHAR), shard_id) - 1 AS place FROM (SELECT DISTINCT shard_id FROM sharded)),
 assigned AS (SELECT shard_id, place, place % 2 AS rank, place // 2 AS rank_place, place // 2 // 4 AS resident_window FROM placed)"""
 
@@ -281,6 +290,26 @@ def q_elbow(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(bands.elbow([p for p, _ in bands.optimal_curve(lengths, counts, 4)], 0.05),)], "k_elbow int")
 
 
+# The settings of derive().
+KMAX, GAIN = 6, 0.05
+
+
+def _curve(spark: SparkSession, sf: str) -> list[int]:
+    lengths, counts = bands.to_arrays(bands.histogram(doc_lengths(spark, sf), LIMIT))
+    return [p for p, _ in bands.optimal_curve(lengths, counts, KMAX)]
+
+
+@query("q_padding_curve_full", _curve_sql(KMAX) + " SELECT k::INTEGER AS k, pad::BIGINT AS padding FROM curve")
+def q_padding_curve_full(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_curve(spark, sf), 1)), "k int, padding bigint")
+
+
+@query("q_elbow_full", _curve_sql(KMAX) + f""", g AS (SELECT k, (lag(pad) OVER (ORDER BY k) - pad) / (SELECT pad FROM curve WHERE k = 1)::DOUBLE AS gain FROM curve)
+SELECT coalesce(min(k) - 1, {KMAX})::INTEGER AS k_elbow FROM g WHERE gain < {GAIN}""")
+def q_elbow_full(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(bands.elbow(_curve(spark, sf), GAIN),)], "k_elbow int")
+
+
 def config(spark: SparkSession, sf: str) -> bands.BandConfig:
     rows = doc_lengths(spark, sf)
     t = rows.agg(F.count_if(F.col("total_len") > LIMIT).alias("chunked"), F.count(F.lit(1)).alias("n")).first()

@@ -65,3 +65,14 @@ def test_all_alpaca_sources_are_parsed(spark, tmp_path):
     spark.createDataFrame(rows, "sample_id bigint, dataset string, instruction string, context string, response string").write.parquet(str(tmp_path / "raw_samples.parquet"))
     got = sorted(map(tuple, QUERIES["q_alpaca_sources"](spark, str(tmp_path)).collect()))
     assert got == [(1, "a", "do", "", "done"), (2, "b", "do", "x", "y")]
+
+
+def test_all_shards_are_read_back_and_the_elbow_may_exceed_four(spark, tmp_path):
+    from lenforge.catalogue_of_queries import QUERIES
+
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 6 * 100 + 100).cast("int")).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["q_shard_round_trip_ranks"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(600)) and {(r.shard_id, r["rank"]) for r in got} == {(s, s % 2) for s in range(5)}
+    assert QUERIES["q_elbow_full"](spark, str(tmp_path)).first().k_elbow == 6
+    assert QUERIES["q_padding_curve_full"](spark, str(tmp_path)).count() == 6
