@@ -4,30 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lenforge.session import cut
+from lenforge.session import written
+
+#: Rows of the table of shifts that are broadcast, at most; a larger one is joined by a shuffle.
+SENT_ROWS = 100_000
+
+
+def shifted(placed: DataFrame, groups: Sequence[str], first: Column, size: Column) -> DataFrame:
+    """(_p, _g0 …, _first, _before, _total): per partition and group of a sorted table, the group's first place there, and its size in the partitions before and in all.
+
+    Partitions plus groups: a small table, whatever the rows.
+    """
+    counts = placed.groupBy("_part", *groups).agg(F.min(first).alias("_first"), F.sum(size).alias("_n"))
+    named = counts.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), "_first", "_n")
+    # A constant stands for no group: the whole table is one.
+    by = Window.partitionBy(*(f"_g{i}" for i in range(len(groups)))) if groups else Window.partitionBy(F.lit(0))
+    return named.withColumn("_before", F.sum("_n").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_total", F.sum("_n").over(by))
+
+
+def same_part(groups: Sequence[str]) -> Column:
+    """The condition that joins a sorted table with its shifts."""
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return same
 
 
 def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
     """Adds the 0-based rank of each row in its group. ``order`` must be unique in a group.
 
-    Rows are sorted over range partitions; ranks inside a partition are shifted by the group's count in the partitions before.
+    One shuffle: rows are sorted over range partitions and written with their place in the partition; ranks are the places, shifted by
+    the group's first place in the partition and by its count in the partitions before.
     """
     n = partitions or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Written, so that the partition of each row stays the one its count was taken in.
-    placed = cut(rows.repartitionByRange(n, *groups, *order).withColumn("_part", F.spark_partition_id()))
-    counts = placed.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_n"))
-    # Partitions plus groups: a small table.
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0) if groups else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    shifts = counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).drop("_n")
-    inside = Window.partitionBy("_part", *groups).orderBy(*order)
-    ranked = placed.withColumn("_in", F.row_number().over(inside) - 1)
-    s = shifts.select(F.col("_part").alias("_p2"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), "_before")
-    same = F.col("_part") == F.col("_p2")
-    for i, g in enumerate(groups):
-        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = ranked.join(s, same)
-    return joined.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).select(*rows.columns, name)
+    by = [*groups, *order]
+    sorted_ = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    # Written, so that the place of each row stays the one its group was counted by.
+    placed = written(sorted_.select(*rows.columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")))
+    shifts = written(shifted(placed, groups, F.col("_place"), F.lit(1)))
+    few = F.broadcast(shifts) if shifts.count() <= SENT_ROWS else shifts
+    rank = F.col("_place") - F.col("_first") + F.col("_before")
+    return placed.join(few, same_part(groups)).withColumn(name, rank.cast("long")).select(*rows.columns, name)
