@@ -3,15 +3,20 @@
 Text: instruction and response with a space between, lower case, without punctuation; its features are the distinct runs of
 three words (a shorter text is one run). Similarity: shared runs over all runs of both.
 
-1. Equal texts are collapsed to one representative (a hash of the runs' words); only representatives are compared.
-2. Each representative has ``HASHES`` min-hashes. It enters one bucket per band of ``ROWS`` of them; pairs that share a bucket are candidates.
+1. Equal texts are one text, named by a 64-bit key of its words (two texts with one key are told apart and get others); each text is compared once.
+2. Each text has ``HASHES`` min-hashes. It enters one bucket per band of ``ROWS`` of them; texts that share a bucket are candidates.
 3. Candidates compare further min-hashes in steps. With a uniform prior on the similarity, the number m of agreements in n
    has the posterior Beta(m+1, n−m+1); a pair is dropped once the posterior probability of reaching the threshold is below ``TOLERANCE``.
 4. The rest is verified exactly on the runs.
-5. Copies are joined back: a pair of representatives stands for all pairs of their copies, and copies are pairs of each other.
+5. Copies are joined back: a pair of texts stands for all pairs of their samples, and samples of one text are pairs of each other.
 
-With the defaults a pair of similarity 0.5 shares a bucket with probability 0.99, one of 0.55 with 0.999. No bucket, candidate
-or partner count is capped; the candidate join is an ordinary equi-join, so that adaptive execution splits hot buckets.
+With the defaults a pair of similarity 0.5 shares a bucket with probability 0.99, one of 0.55 with 0.999. No bucket, candidate or partner
+count is capped. Buckets of at most ``PAIRED`` texts give their pairs; larger ones are compared in blocks of about ``BLOCK`` texts,
+a pair of blocks per task, and only pairs that survive the pruning leave a task, so that no bucket is gathered in one place and none emits all its pairs.
+Keys that hold a thousandth of the texts are found beforehand, by counts per task, and never meet in one partition.
+
+All joins of keys and sketches are sort-merge joins (hinted, as estimates do not know what is exploded). Two tables are broadcast: the
+keys of hot buckets (at most 72 · 2 / ``HOT_SHARE`` of four bytes) and the slots of the texts to verify (at most ``SLOTS`` numbers).
 
 Defined results: nulls count as empty text; samples without any word are in no pair; a sample delivered repeatedly counts
 once (earliest loaded); further columns are dropped; an empty table gives an empty result.
@@ -20,17 +25,18 @@ once (earliest loaded); further columns are dropped; an empty table gives an emp
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lenforge.session import cut
+from lenforge.session import discard, written
 
 THRESHOLD, SHINGLE = 0.5, 3
 #: Bands of ROWS min-hashes each make the buckets; COMPARED further ones serve the pruning.
@@ -38,8 +44,14 @@ ROWS, BANDS, COMPARED = 4, 72, 64
 HASHES = ROWS * BANDS
 STEPS = (8, 16, 24, 32, 48, 64)
 TOLERANCE = 1e-5
-#: Key rows (16 bytes each) that may be broadcast; their number is checked, and more of them are joined by a shuffle.
-SENT_ROWS = 1_000_000
+#: Texts of a bucket that give their pairs directly; texts of a block of a larger bucket.
+PAIRED, BLOCK = 256, 16_384
+#: Share of the texts, and least number of them, from which a bucket is hot.
+HOT_SHARE, HOT_LEAST = 0.001, 2_000
+#: Slots that texts to verify are marked in; one slot may stand for several texts.
+SLOTS = 1 << 20
+#: Conflicting 64-bit keys that may be sent along; in n texts some n² / 2⁶⁵ are expected.
+CONFLICTS = 100_000
 _PUNCTUATION = re.compile(r"[^\w\s]+")
 _SEED = np.random.default_rng(20240607)
 _MUL = (_SEED.integers(1, 1 << 31, HASHES + COMPARED, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -58,54 +70,86 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_codes: dict[str, int] = {}
+class Codes(dict):
+    """64-bit codes of words, remembered per worker up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return code
+
+
+_codes = Codes()
 
 
 def word_codes(tokens: list[str]) -> np.ndarray:
-    """64-bit codes of words; remembered per worker up to a bound."""
-    get = _codes.get
-    try:
-        return np.fromiter(map(_codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    except KeyError:
-        if len(_codes) > 500_000:
-            _codes.clear()
-        for w in tokens:
-            if get(w) is None:
-                b = w.encode("utf-8", "surrogatepass")
-                _codes[w] = (zlib.crc32(b) << 32) | zlib.crc32(b[::-1] + b"\x01")
-        return np.fromiter(map(_codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-
-
-def runs(tokens: list[str], size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words."""
-    if not tokens:
-        return np.empty(0, dtype=np.uint64)
-    code = _scramble(word_codes(tokens))
-    n = max(1, len(code) - size + 1)
-    total = np.zeros(n, dtype=np.uint64)
-    for k in range(min(size, len(code))):
-        total += code[k : k + n] * _MIX[k]
-    if len(code) < size:
-        total += np.uint64(len(code))
-    return np.unique(_scramble(total))
-
-
-def signature(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
+    return np.fromiter(map(_codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+
+class Texts:
+    """Keys and runs of many texts, worked out together: ``shingles[start[k] : start[k + 1]]`` are the sorted distinct 64-bit hashes of text k's runs."""
+
+    def __init__(self, lists: list[list[str]], size: int = SHINGLE):
+        count = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        code = _scramble(word_codes([w for x in lists for w in x]))
+        begin = np.cumsum(count) - count
+        owner = np.repeat(np.arange(len(lists)), count)
+        at = (np.arange(len(code)) - begin[owner] + 1).astype(np.uint64)
+        # Two 64-bit halves of a key of all words in order.
+        self.one = _scramble(_sums(_scramble(code + at * _MIX[3]), begin, count))
+        self.two = _scramble(_sums(_scramble(code ^ (at * _MIX[4])), begin, count))
+        # A run begins at each word that has size - 1 words of its text after it; a shorter text is one run, with its length.
+        total, left = np.zeros(len(code), dtype=np.uint64), count[owner] - (at.astype(np.int64) - 1)
+        for k in range(size):
+            ok = np.flatnonzero(left > k)
+            total[ok] += code[ok + k] * _MIX[k]
+        short = count[owner] < size
+        total[short] += count[owner][short].astype(np.uint64)
+        begins = np.flatnonzero((left >= size) | (short & (at == 1)))
+        shingle, owner = _scramble(total[begins]), owner[begins]
+        order = np.lexsort((shingle, owner))
+        shingle, owner = shingle[order], owner[order]
+        new = np.ones(len(shingle), dtype=bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
+        self.shingles = shingle[new]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(lists)))]).astype(np.int64)
+
+    def runs(self, k: int) -> np.ndarray:
+        return self.shingles[self.start[k] : self.start[k + 1]]
+
+    def signatures(self) -> np.ndarray:
+        out = np.empty((len(self.start) - 1, HASHES + COMPARED), dtype=np.uint32)
+        for k in range(len(out)):
+            signature(self.runs(k), out[k])
+        return out
+
+
+def _sums(x: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches, modulo 2⁶⁴; 0 for an empty one."""
+    upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return upto[begin + count] - upto[begin]
+
+
+_space = np.empty((128, HASHES + COMPARED), dtype=np.uint32)
+
+
+def signature(shingles: np.ndarray, out: np.ndarray) -> None:
     """Min-hashes (uint32) of a non-empty set; long sets go block by block, so memory does not follow the text."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = None
-    for at in range(0, len(low), block):
-        part = (low[at : at + block, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0)
-        best = part if best is None else np.minimum(best, part)
-    return best
+    for at in range(0, len(low), len(_space)):
+        part = low[at : at + len(_space), None]
+        block = np.multiply(part, _MUL[None, :], out=_space[: len(part)])
+        block += _ADD
+        np.minimum.reduce(block, axis=0, out=out) if at == 0 else np.minimum(out, block.min(axis=0), out=out)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 32-bit key per band, of the band's number and min-hashes; a chance agreement only adds a candidate."""
-    rows = sig[:HASHES].reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """One 32-bit key per text and band, of the band's number and min-hashes; a chance agreement only adds a candidate."""
+    rows = sigs[:, :HASHES].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), rows.shape[:2])
     for k in range(ROWS):
-        key = _scramble(key + rows[:, k])
+        key = _scramble(key + rows[:, :, k])
     return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -133,65 +177,289 @@ def prune(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, tolerance:
     return alive
 
 
+def prune_blocks(a: np.ndarray, b: np.ndarray, same: bool, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for all pairs of two blocks of sketches (of one block, if ``same``), a few rows at a time."""
+    bt = np.ascontiguousarray(b.T)
+    for at in range(0, len(a), rows):
+        part = a[at : at + rows]
+        alive = np.ones((len(part), len(b)), dtype=bool)
+        if same:
+            alive = np.arange(len(b))[None, :] > np.arange(at, at + len(part))[:, None]
+        agreed, before = np.zeros(alive.shape, dtype=np.uint8), 0
+        for n in [s for s in STEPS if s <= 32]:
+            for k in range(before, n):
+                agreed += part[:, k, None] == bt[None, k]
+            alive &= agreed >= least_agreements(n, threshold, tolerance)
+            before = n
+        x, y = np.nonzero(alive)
+        kept = prune(part[x], b[y], threshold, tolerance)
+        yield x[kept] + at, y[kept]
+
+
+# --- features ----------------------------------------------------------------------------------------------------------
+
+
 def _features(rows: DataFrame) -> DataFrame:
-    """(id, at, text_key, n, bands, sketch) of each text with any word; text_key is a 128-bit key of its words, n counts its runs.
+    """(id, at, one, two, n, bands, sketch) of each sample with any word: two 64-bit keys of its words, the number of its runs, min-hashes.
 
     The runs themselves are not kept: they are many times the size of a sketch, and few samples need them again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, keys, sizes, bands, sketches = [], [], [], [], []
-            for i, (ins, res) in enumerate(zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)):
-                tokens = words(ins, res)
-                if not tokens:
-                    continue
-                code = _scramble(word_codes(tokens))
-                at = np.arange(1, len(code) + 1, dtype=np.uint64)
-                one = int(_scramble(code + at * _MIX[3]).sum(dtype=np.uint64))
-                two = int(_scramble(code ^ (at * _MIX[4])).sum(dtype=np.uint64))
-                shingles = runs(tokens)
-                sig = signature(shingles)
-                kept.append(i)
-                keys.append(one.to_bytes(8, "big") + two.to_bytes(8, "big"))
-                sizes.append(len(shingles))
-                bands.append(band_keys(sig))
-                sketches.append((sig[HASHES:] >> np.uint32(24)).astype(np.uint8).tobytes())
-            ends = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS)
-            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, dtype=np.int32))
-            pick = pa.array(kept, pa.int64())
-            columns = [batch.column("id").take(pick), batch.column("at").take(pick), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "text_key", "n", "bands", "sketch"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                lists = [words(a, b) for a, b in zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)]
+                kept = [k for k, x in enumerate(lists) if x]
+                texts = Texts([lists[k] for k in kept])
+                sigs = texts.signatures()
+                pick = pa.array(kept, pa.int64())
+                keys = [pa.array(x.view(np.int64)) for x in (texts.one, texts.two)]
+                sketch = (sigs[:, HASHES:] >> np.uint32(24)).astype(np.uint8)
+                columns = [batch.column("id").take(pick), batch.column("at").take(pick), *keys, pa.array(np.diff(texts.start).astype(np.int32)), _fixed(band_keys(sigs)), _fixed(sketch)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "one", "two", "n", "bands", "sketch"])
 
     at = rows.schema["at"].dataType.simpleString()
-    return rows.select("id", "at", "instruction", "response").mapInArrow(run, f"id bigint, at {at}, text_key binary, n int, bands array<int>, sketch binary")
+    return rows.select("id", "at", "instruction", "response").mapInArrow(run, f"id bigint, at {at}, one bigint, two bigint, n int, bands binary, sketch binary")
 
 
-def _run_sets(rows: DataFrame) -> DataFrame:
-    """(id, shingles BINARY): the sorted hashes of each text's runs."""
+def _fixed(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    data = np.ascontiguousarray(matrix)
+    width = data.shape[1] * data.itemsize
+    ends = pa.py_buffer((np.arange(len(data) + 1) * width).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, ends, pa.py_buffer(data.tobytes())])
+
+
+def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """Binary values of one length as rows of a matrix."""
+    if not len(column):
+        return np.empty((0, width), dtype=kind)
+    _, ends, data = column.buffers()
+    begin, end = (np.frombuffer(ends, dtype=np.int32)[column.offset + k] for k in (0, len(column)))
+    return np.frombuffer(data, dtype=np.uint8)[begin:end].view(kind).reshape(-1, width)
+
+
+def _conflicts(features: DataFrame) -> list[int]:
+    """First keys that stand for several texts; they are named by their second key."""
+    twice = features.groupBy("one").agg(F.min("two").alias("lo"), F.max("two").alias("hi")).where("lo <> hi").select("one").limit(CONFLICTS + 1).collect()
+    if len(twice) > CONFLICTS:
+        raise ValueError("too many texts share a 64-bit key")
+    return [r["one"] for r in twice]
+
+
+def _named(conflicts: list[int]) -> Column:
+    """The key of a row's text."""
+    return F.when(F.col("one").isin(conflicts), F.col("two")).otherwise(F.col("one")) if conflicts else F.col("one")
+
+
+def _members(features: DataFrame) -> DataFrame:
+    """(id, at, text) of every sample, by the row that counts."""
+    once = features.groupBy("id").agg(F.min(F.struct("at", "text")).alias("_r"))
+    return once.select("id", F.col("_r.at").alias("at"), F.col("_r.text").alias("text"))
+
+
+# --- candidates --------------------------------------------------------------------------------------------------------
+
+
+def _hot_keys(features: DataFrame, texts: int) -> dict[int, int]:
+    """Keys of hot buckets with a count: a key held by ``HOT_SHARE`` of all rows is among them, and at most 72 · 2 / HOT_SHARE are."""
+    share, least = HOT_SHARE / 2, HOT_LEAST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(rows), return_counts=True)
+            often = count >= max(2, share * len(key) / BANDS)
+            return pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(count[often].astype(np.int64))], names=["band", "count"])
+
+        # A key that holds the share of all rows holds it in some part of a task; what the parts leave out is below half of it.
+        rows, known = [], set()
+        for batch in batches:
+            rows.append(_matrix(batch.column("bands").take(_unseen(batch, known)), BANDS, np.int32).ravel())
+            if sum(map(len, rows)) > 8_000_000:
+                yield counts()
+                rows = []
+        if rows:
+            yield counts()
+
+    counts = features.select("text", "bands").mapInArrow(run, "band int, count bigint").groupBy("band").agg(F.sum("count").alias("count"))
+    return {r["band"]: r["count"] for r in counts.where(F.col("count") >= max(least, share * texts)).collect()}
+
+
+def _unseen(batch: pa.RecordBatch, known: set[int]) -> pa.Array:
+    """The rows of texts that a task has not met, which it notes; so copies of a text count once per task."""
+    return pa.array([k for k, t in enumerate(batch.column("text").to_pylist()) if not (t in known or known.add(t))], pa.int64())
+
+
+def _band_rows(features: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """(band, text) of every text and bucket that is not hot; a text that a task meets again is left out there."""
+    hot_keys = np.array(sorted(hot), dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                first = _unseen(batch, known)
+                band = _matrix(batch.column("bands").take(first), BANDS, np.int32).ravel()
+                owner = np.repeat(batch.column("text").take(first).to_numpy(), BANDS)
+                if len(hot_keys):
+                    cold = ~np.isin(band, hot_keys)
+                    band, owner = band[cold], owner[cold]
+                yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(owner)], names=["band", "text"])
+
+    return features.select("text", "bands").mapInArrow(run, "band int, text bigint")
+
+
+def bucket_pairs(band: np.ndarray, text: np.ndarray, paired: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of buckets of 2 to ``paired`` texts, and (band, text, size) of larger ones; rows sorted by both, whole buckets."""
+    new = np.ones(len(band), dtype=bool)
+    new[1:] = (band[1:] != band[:-1]) | (text[1:] != text[:-1])
+    band, text = band[new], text[new]
+    first = np.ones(len(band), dtype=bool)
+    first[1:] = band[1:] != band[:-1]
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(band)))
+    sizes = np.repeat(size, size)
+    left = np.repeat(begin + size, size) - np.arange(len(band)) - 1
+    large = sizes > paired
+    left[large] = 0
+    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    at, step = np.flatnonzero(left), 1
+    while len(at):
+        a.append(text[at])
+        b.append(text[at + step])
+        step += 1
+        at = at[left[at] >= step]
+    return (np.concatenate(a), np.concatenate(b)), (band[large], text[large], sizes[large])
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """(a, b) of candidates, and (a, band, size) of the texts of buckets too large for pairs, from one shuffle of the band rows."""
+    paired = PAIRED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(band: list[np.ndarray], text: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            (a, b), (key, member, size) = bucket_pairs(np.concatenate(band), np.concatenate(text), paired)
+            for x, y, z, w in ((a, b, None, None), (member, None, key, size)):
+                for at in range(0, len(x), 100_000):
+                    cut = slice(at, at + 100_000)
+                    n = len(x[cut])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x[cut]), pa.nulls(n, pa.int64()) if y is None else pa.array(y[cut]), pa.nulls(n, pa.int32()) if z is None else pa.array(z[cut]), pa.nulls(n, pa.int64()) if w is None else pa.array(w[cut])],
+                        names=["a", "b", "band", "size"],
+                    )
+
+        band, text = [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, member = batch.column("band").to_numpy(), batch.column("text").to_numpy()
+            # The last bucket of a batch may go on in the next one.
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield from close([*band, key[:last]], [*text, member[:last]])
+                band, text = [], []
+            elif band and band[-1][-1] != key[0]:
+                yield from close(band, text)
+                band, text = [], []
+            band.append(key[last:])
+            text.append(member[last:])
+        if band:
+            yield from close(band, text)
+
+    return rows.repartition("band").sortWithinPartitions("band", "text").mapInArrow(run, "a bigint, b bigint, band int, size bigint")
+
+
+def _blocks(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b) of the pairs of large buckets that the pruning leaves. ``members``: band, size, text, n, sketch."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(frame["_i"].iloc[0]), int(frame["_j"].iloc[0])
+        frame = frame.drop_duplicates("text")
+        x, y = (frame[frame["_own"] == k] for k in (i, j))
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        if len(x) and len(y):
+            ax, by = (np.frombuffer(b"".join(f["sketch"]), dtype=np.uint8).reshape(-1, COMPARED) for f in (x, y))
+            for p, q in prune_blocks(ax, by, i == j, threshold, tolerance):
+                a.append(x["text"].to_numpy()[p])
+                b.append(y["text"].to_numpy()[q])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = members.select("band", "text", "sketch", blocks.alias("_blocks"), F.pmod("text", blocks).cast("int").alias("_own"))
+    cells = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cells = cells.select("band", "text", "sketch", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    return cells.groupBy("band", "_i", "_j").applyInPandas(run, "a bigint, b bigint")
+
+
+def _hot_members(features: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """(band, size, text, sketch) of the texts of hot buckets."""
+    keys, sizes = np.array(sorted(hot), dtype=np.int32), np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            # Of each 64-bit hash six bytes travel: enough to tell the runs of any two texts apart.
-            sets = [(runs(words(a, b)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, b in zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            first = _unseen(batch, known)
+            band, first = _matrix(batch.column("bands").take(first), BANDS, np.int32).ravel(), first.to_numpy()
+            at = np.flatnonzero(np.isin(band, keys))
+            for lo in range(0, len(at), 50_000):
+                part = at[lo : lo + 50_000]
+                rows = pa.array(first[part // BANDS])
+                yield pa.RecordBatch.from_arrays([pa.array(band[part]), pa.array(sizes[np.searchsorted(keys, band[part])]), batch.column("text").take(rows), batch.column("sketch").take(rows)], names=["band", "size", "text", "sketch"])
 
-    return rows.select("id", "instruction", "response").mapInArrow(run, "id bigint, shingles binary")
+    return features.select("text", "bands", "sketch").mapInArrow(run, "band int, size bigint, text bigint, sketch binary")
 
 
 def _kept(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COMPARED) for c in ("sketch_a", "sketch_b"))
+            a, b = (_matrix(batch.column(c), COMPARED, np.uint8) for c in ("sketch_a", "sketch_b"))
             yield batch.select(["a", "b"]).take(pa.array(prune(a, b, threshold, tolerance)))
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def _wide(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def _likely_pairs(features: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b): candidates of the buckets that the pruning leaves."""
+    hot = _hot_keys(features, features.count())
+    found = written(_bucketed(_band_rows(features, hot)))
+    candidates = found.where("b IS NOT NULL").select("a", "b").distinct()
+    sketch = features.select("text", "n", "sketch").dropDuplicates(["text"])
+    side = lambda c: sketch.select(F.col("text").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
+    compared = candidates.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    # Sizes that differ too much cannot reach the threshold.
+    compared = compared.where((F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold))
+    kept = _kept(compared.select("a", "b", "sketch_a", "sketch_b"), threshold, tolerance)
+    large = found.where("b IS NULL").select(F.col("a").alias("text"), "band", "size")
+    in_blocks = []
+    if hot:
+        in_blocks.append(_hot_members(features, hot))
+    if not large.isEmpty():
+        in_blocks.append(large.hint("merge").join(sketch.hint("merge"), "text").select("band", "size", "text", "sketch"))
+    for members in in_blocks:
+        kept = kept.unionByName(_blocks(members, threshold, tolerance))
+    kept = written(kept.distinct() if in_blocks else kept)
+    discard(found)
+    return kept
+
+
+# --- verification ------------------------------------------------------------------------------------------------------
+
+
+def _run_sets(rows: DataFrame) -> DataFrame:
+    """(one, two, shingles BINARY): keys of each text, and the sorted hashes of its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = Texts([words(a, b) for a, b in zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)])
+                sets = [texts.runs(k).tobytes() for k in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (texts.one, texts.two)), pa.array(sets, pa.binary())], names=["one", "two", "shingles"])
+
+    return rows.select("instruction", "response").mapInArrow(run, "one bigint, two bigint, shingles binary")
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -199,7 +467,7 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             sim = []
             for x, y in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True):
-                x, y = _wide(x), _wide(y)
+                x, y = (np.frombuffer(s, dtype=np.uint64) for s in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 sim.append(both / (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
@@ -207,78 +475,75 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)
 
 
-def _members(features: DataFrame) -> DataFrame:
-    """(id, at, rep) of every sample: the row that counts, and the least id with the same words."""
-    once = features.groupBy("id").agg(F.min(F.struct("at", "text_key")).alias("_r")).select("id", F.col("_r.at").alias("at"), F.col("_r.text_key").alias("text_key"))
-    first = once.groupBy("text_key").agg(F.min("id").alias("rep"))
-    return cut(once.join(first, "text_key").select("id", "at", "rep"))
-
-
-def _likely_pairs(features: DataFrame, reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b): candidates of the buckets that the pruning leaves."""
-    # Few rows are copies or repeated, as a rule: they are sent to the sketches, rather than all sketches to the representatives.
-    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("at").eqNullSafe(F.col("_at"))
-    own = reps.withColumnRenamed("id", "_id")
-    others = cut(features.select("id", "at").join(own, same, "left_anti").withColumnsRenamed({"id": "_id", "at": "_at"}).distinct())
-    sigs = features.join(F.broadcast(others), same, "left_anti") if others.count() <= SENT_ROWS else features.join(own, same, "left_semi")
-    rows = sigs.select("id", F.explode("bands").alias("band"))
-    x, y = rows.alias("x"), rows.alias("y")
-    candidates = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sketch = sigs.select("id", "n", "sketch").dropDuplicates(["id"])
-    compared = candidates.join(sketch.withColumnsRenamed({"id": "a", "n": "n_a", "sketch": "sketch_a"}), "a").join(sketch.withColumnsRenamed({"id": "b", "n": "n_b", "sketch": "sketch_b"}), "b")
-    # Sizes that differ too much cannot reach the threshold.
-    compared = compared.where((F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold))
-    return cut(_kept(compared.select("a", "b", "sketch_a", "sketch_b"), threshold, tolerance))
-
-
 def near_duplicates(samples: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """(pairs of representatives with their similarity, membership (id, rep)) of ``samples``: id, at (time of loading), instruction, response."""
+    """(pairs of representatives with their similarity, membership (id, rep)) of ``samples``: id, at (time of loading), instruction, response.
+
+    The representative of equal texts is the least id. Links within a text need no row: they are the membership.
+    """
     named = samples.where("id IS NOT NULL")
     # One pass over the texts; from here on, only keys and sketches travel.
-    features = cut(_features(named))
-    member_of = _members(features)
-    reps = member_of.where("id = rep").select("id", F.col("at").alias("_at"))
-    kept = _likely_pairs(features, reps, threshold, tolerance)
-    needed = cut(kept.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps, "id"))
-    few = F.broadcast(needed) if needed.count() <= SENT_ROWS else needed
-    texts = named.join(few, "id").where(F.col("at").eqNullSafe(F.col("_at")))
-    sets = _run_sets(texts).dropDuplicates(["id"])
-    both = kept.join(sets.withColumnsRenamed({"id": "a", "shingles": "shingles_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "shingles_b"}), "b")
-    return _verified(both.select("a", "b", "shingles_a", "shingles_b"), threshold), member_of.select("id", "rep")
+    features = written(_features(named))
+    name = _named(_conflicts(features))
+    features = features.withColumn("text", name)
+    members = written(_members(features))
+    # Of a sample delivered with several texts one counts; a text without a member is dropped here, with its pairs.
+    reps = members.groupBy("text").agg(F.min("id").alias("rep"))
+    kept = _likely_pairs(features, threshold, tolerance)
+    needed = written(kept.select(F.explode(F.array("a", "b")).alias("text")).distinct().hint("merge").join(reps.hint("merge"), "text"))
+    # The texts to verify are found by slots of their ids, a table of bounded size, so that only they (and few others) are shuffled.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    few = named.withColumn("_slot", slot("id")).join(F.broadcast(needed.select(slot("rep").alias("_slot")).distinct()), "_slot", "left_semi")
+    sets = _run_sets(few).select(name.alias("text"), "shingles").dropDuplicates(["text"])
+    sets = written(sets.hint("merge").join(needed.select("text", F.col("rep").alias("id")).hint("merge"), "text"))
+    side = lambda c: sets.select(F.col("text").alias(c), F.col("id").alias(f"id_{c}"), F.col("shingles").alias(f"shingles_{c}")).hint("merge")
+    both = kept.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    ordered = both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shingles_a", "shingles_b")
+    pairs = written(_verified(ordered, threshold))
+    membership = written(members.hint("merge").join(reps.select("text", "rep").hint("merge"), "text").select("id", "rep"))
+    for table in (sets, needed, kept, members, features):
+        discard(table)
+    return pairs, membership
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b) of all near-duplicate samples, copies included; as many rows as the definition lists."""
     copies = members.groupBy("rep").count().where("count > 1").select("rep")
-    group = members.join(copies, "rep", "left_semi")
-    same = group.alias("x").join(group.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    group = members.hint("merge").join(copies.hint("merge"), "rep", "left_semi")
+    x, y = (group.select("rep", F.col("id").alias(c)).hint("merge") for c in ("id_a", "id_b"))
+    same = x.join(y, "rep").where("id_a < id_b").select("id_a", "id_b")
     a, b = members.withColumnsRenamed({"id": "ia", "rep": "a"}), members.withColumnsRenamed({"id": "ib", "rep": "b"})
-    across = pairs.select("a", "b").join(a, "a").join(b, "b").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-    return same.unionByName(across)
+    across = pairs.select("a", "b").hint("merge").join(a.hint("merge"), "a").hint("merge").join(b.hint("merge"), "b")
+    return same.unionByName(across.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")))
 
 
 def groups(pairs: DataFrame, members: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, group_id) of every sample with a partner: connected components by alternating large- and small-star steps."""
-    edges = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    size = -1
+    """(id, group_id) of every sample with a partner: connected components by alternating large- and small-star steps.
+
+    Each step at least halves the distances that are left, so ``rounds`` serves 2^rounds links in a row; if they do not settle, it raises.
+    """
+    edges = written(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    size = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.hint("merge").join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = cut(small)
+        small = down.hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        after = written(small)
         # A sum of hashes over the edges tells whether a round changed anything.
         now = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+        discard(edges)
         edges = after
         if size == (now["n"], now["h"]):
             break
         size = (now["n"], now["h"])
+    else:
+        raise RuntimeError(f"the groups have not settled in {rounds} rounds")
     root = edges.groupBy("u").agg(F.min("v").alias("root"))
-    placed = members.join(root, F.col("rep") == F.col("u"), "left").select("id", F.coalesce("root", "rep").alias("group_id"))
+    placed = members.hint("merge").join(root.hint("merge"), F.col("rep") == F.col("u"), "left").select("id", F.coalesce("root", "rep").alias("group_id"))
     sizes = placed.groupBy("group_id").count().where("count > 1")
-    return placed.join(sizes, "group_id", "left_semi").select("id", "group_id")
+    return placed.hint("merge").join(sizes.hint("merge"), "group_id", "left_semi").select("id", "group_id")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -294,4 +559,16 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(*_found(spark, sf_dir)).withColumnRenamed("id", "sample_id")
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rep_a, rep_b, similarity): the links between different texts, whatever the number of their copies."""
+    return _found(spark, sf_dir)[0].withColumnsRenamed({"a": "rep_a", "b": "rep_b"})
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, rep, links): one row per sample with any word: its text's representative, and the number of other texts linked to it."""
+    pairs, members = _found(spark, sf_dir)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.hint("merge").join(links.hint("merge"), "rep", "left").select(F.col("id").alias("sample_id"), "rep", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 ORACLES: dict[str, str] = {}

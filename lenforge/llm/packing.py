@@ -111,4 +111,20 @@ def p5_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("unused_share", F.col("unused_ids") / (F.col("used_ids") + F.col("unused_ids")))
 
 
-ORACLES: dict[str, str] = {}
+def p5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep, per config: each measured item once and with its whole size, in more than one container only if above the capacity, no container above it."""
+    boxes = p5_packing(spark, sf_dir)
+    items = boxes.groupBy("config_id", "sample_id", "capacity").agg(F.sum("part_size").alias("size"), F.count(F.lit(1)).alias("parts"))
+    torn = F.count_if((F.col("parts") > 1) & (F.col("size") <= F.col("capacity")))
+    kept = items.groupBy("config_id").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("used_ids"), torn.alias("torn_items"))
+    over = boxes.groupBy("config_id", "container_id", "capacity").agg(F.sum("part_size").alias("used")).groupBy("config_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    return kept.join(over, "config_id")
+
+
+ORACLES = {
+    "p5_whole": """
+SELECT config_id, count(*)::BIGINT AS items, sum(total_len)::BIGINT AS used_ids, 0::BIGINT AS torn_items, 0::BIGINT AS overfull
+FROM (SELECT sample_id, config_id, arg_min(total_len, loaded_at) AS total_len FROM token_lengths WHERE total_len >= 0 GROUP BY ALL)
+JOIN build_config USING (config_id) GROUP BY config_id
+"""
+}

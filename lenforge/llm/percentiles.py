@@ -1,8 +1,8 @@
 """Problem 2: exact percentiles per group of very large numeric columns, from states that combine.
 
-``keyed_state`` holds each measurement once under its key, so states of separate days or files combine by ``combine_states``
-even if a row was delivered in several of them. ``counted_state`` is the smaller form (a count per distinct value), to be
-used where a key cannot occur in two parts, as with days of built_at. Either gives the percentiles of the whole.
+``keyed_state`` holds each measurement once under its key, with its time of loading, so states of separate days or files combine by
+``combine_states`` even if a row was delivered in several of them: the earliest one counts, as in one state of all rows. ``counted_state``
+is the smaller form (a count per distinct value), to be used where a key cannot occur in two parts. Either gives the percentiles of the whole.
 
 ``percentiles`` sorts all (group, value) pairs over range partitions, counts each group per partition, turns the counts
 into offsets, finds the partition that holds each target position, and interpolates its neighbouring order statistics.
@@ -15,34 +15,41 @@ repeated under one key the earliest loaded counts. Further columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lenforge.session import cut
+from lenforge.operators.numbering import SENT_ROWS, same_part, shifted
+from lenforge.session import written
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def keyed_state(df: DataFrame, key: Sequence[str], groups: Sequence[str], value: str, order: str | None = None) -> DataFrame:
-    """One row (key, groups, value) per key with a measured value."""
+    """One row (key, groups, value, _at) per key with a measured value; _at is the time of loading, null without ``order``."""
     measured = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(value) >= 0))
     rest = [c for c in [*groups, value] if c not in key]
-    first = F.struct(*([F.col(order).alias("_at")] if order else []), *(F.col(c) for c in rest))
-    state = measured.groupBy(*key).agg(F.min(first).alias("_row"))
-    return state.select(*key, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    at = F.col(order) if order else F.lit(None).cast("timestamp")
+    return combine(measured.select(*key, at.alias("_at"), *rest), key)
 
 
-def combine_states(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The keyed state of two parts, each key once."""
-    both = a.unionByName(b)
-    rest = [c for c in both.columns if c not in key]
-    row = both.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
+def combine(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Of each key the earliest loaded row (of equal times the least)."""
+    rest = [c for c in rows.columns if c not in key]
+    row = rows.groupBy(*key).agg(F.min(F.struct("_at", *(c for c in rest if c != "_at"))).alias("_row"))
     return row.select(*key, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
+def combine_states(*states: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The keyed state of several parts, each key once."""
+    return combine(reduce(DataFrame.unionByName, states), key)
+
+
 def counted_state(state: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """(groups, value, n): map-side counts before the shuffle, so repeated values of a hot group travel once per task."""
     return state.groupBy(*groups, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -57,31 +64,24 @@ def percentiles(counts: DataFrame, groups: Sequence[str], at: Sequence[float] =
     """(groups, n_values, percentile, value, error_bound) of a counted state."""
     spark = counts.sparkSession
     n_parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [*groups, "value"]
+    sorted_ = counts.select(*by, "n").repartitionByRange(n_parts, *by).sortWithinPartitions(*by)
     # The partition of each row must stay what it was when its counts were taken, hence the written table.
-    placed = cut(counts.repartitionByRange(n_parts, *groups, "value").withColumn("_part", F.spark_partition_id()))
-    # One row per partition and group that meet: partitions plus groups, whatever the rows.
-    per_part = placed.groupBy("_part", *groups).agg(F.sum("n").alias("_n"))
-    by_group = Window.partitionBy(*groups)
-    offsets = per_part.withColumn("_upto", F.sum("_n").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)))
-    offsets = offsets.withColumn("_total", F.sum("_n").over(by_group)).withColumn("_offset", F.col("_upto") - F.col("_n"))
+    placed = written(_running(sorted_.withColumn("_part", F.spark_partition_id())))
+    offsets = written(shifted(placed, groups, F.col("_end") - F.col("n"), F.col("n")))
     quantile = F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("percentile")
     place = F.col("percentile") * (F.col("_total") - 1)
     targets = (
-        offsets.select("_part", *groups, "_offset", "_upto", "_total", quantile)
+        offsets.select("*", quantile)
         .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("_pos", F.when(F.col("_side") == 0, F.floor(place)).otherwise(F.ceil(place)))
-        .where((F.col("_pos") >= F.col("_offset")) & (F.col("_pos") < F.col("_upto")))
-    )
-    inside = Window.partitionBy("_part", *groups).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("_end", F.sum("n").over(inside))
-    t, r = targets.alias("t"), ranked.alias("r")
-    same = F.col("t._part") == F.col("r._part")
-    for g in groups:
-        same &= F.col(f"t.{g}").eqNullSafe(F.col(f"r.{g}"))
-    within = F.col("t._pos") - F.col("t._offset")
-    found = t.join(r, same & (within < F.col("r._end")) & (within >= F.col("r._end") - F.col("r.n"))).select(
-        *(F.col(f"t.{g}").alias(g) for g in groups), "percentile", "_side", "_total", F.col("r.value").cast("double").alias("value")
+        .where((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_n")))
+        .select("_p", *(f"_g{i}" for i in range(len(groups))), (F.col("_pos") - F.col("_before") + F.col("_first")).alias("_spot"), "percentile", "_side", "_total")
     )
+    # Two rows per group and percentile at most, and one partition each: groups decide the size, which is checked.
+    few = F.broadcast(targets) if offsets.count() * 2 * len(at) <= SENT_ROWS else targets
+    within = (F.col("_spot") < F.col("_end")) & (F.col("_spot") >= F.col("_end") - F.col("n"))
+    found = placed.join(few, same_part(groups) & within).select(*groups, "percentile", "_side", "_total", F.col("value").cast("double").alias("value"))
     low = F.max(F.when(F.col("_side") == 0, F.col("value")))
     high = F.max(F.when(F.col("_side") == 1, F.col("value")))
     out = found.groupBy(*groups, "percentile", F.col("_total").alias("n_values")).agg(low.alias("_low"), high.alias("_high"))
@@ -90,6 +90,20 @@ def percentiles(counts: DataFrame, groups: Sequence[str], at: Sequence[float] =
     return out.select(*groups, "n_values", "percentile", value.alias("value"), F.lit(0.0).alias("error_bound"))
 
 
+def _running(rows: DataFrame) -> DataFrame:
+    """Adds _end, the sum of n over the rows of the partition up to each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            ends = np.cumsum(batch.column("n").to_numpy()) + total
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends)], names=[*batch.schema.names, "_end"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, _end bigint")
+
+
 KEY, GROUPS = ("sample_id", "config_id"), ("dataset", "config_id")
 
 
@@ -103,12 +117,19 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, from a count state per day of built_at, added up over the days."""
+    """The same, from a state per day of built_at, each made of that day's rows alone, and combined by key (a row may be delivered on several days)."""
     rows = _lengths(spark, sf_dir).withColumn("day", F.to_date("built_at"))
-    state = keyed_state(rows, KEY, [*GROUPS, "day"], "total_len", "loaded_at")
-    days = counted_state(state, [*GROUPS, "day"], "total_len")
-    whole = days.groupBy(*GROUPS, "value").agg(F.sum("n").alias("n"))
-    return percentiles(whole, GROUPS)
+    # The states of all days side by side, as a table of one part per day; combining reads the parts and nothing else.
+    days = written(keyed_state(rows, [*KEY, "day"], GROUPS, "total_len", "loaded_at"))
+    whole = combine_states(days.drop("day"), key=KEY)
+    return percentiles(counted_state(whole, GROUPS, "total_len"), GROUPS)
+
+
+def p2_files_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, from the counts of separate parts that share no key, added up."""
+    state = written(keyed_state(_lengths(spark, sf_dir), KEY, GROUPS, "total_len", "loaded_at"))
+    parts = [counted_state(state.where(F.pmod(F.xxhash64(*KEY), F.lit(4)) == k), GROUPS, "total_len") for k in range(4)]
+    return percentiles(reduce(combine_counts, parts), GROUPS)
 
 
 _ORACLE = """
@@ -127,4 +148,4 @@ SELECT dataset, config_id, n_values, percentile,
        low + (high - low) * (percentile * (n_values - 1) - floor(percentile * (n_values - 1))) AS value, 0.0::DOUBLE AS error_bound
 FROM ends
 """
-ORACLES = {"p2_percentiles": _ORACLE, "p2_days_combined": _ORACLE}
+ORACLES = {"p2_percentiles": _ORACLE, "p2_days_combined": _ORACLE, "p2_files_combined": _ORACLE}

@@ -9,8 +9,8 @@ chunk_bounds are the ends of all pieces but the last.
 
 Defined results: a null id array counts as empty; null ids inside count as ordinary pieces of words; a limit that is null or below 1
 means no limit; an overlap that is null or negative is 0, and one not below the limit is taken as limit − 1; rows of unknown config
-are not cut (their limit is unknown); rows within the limit give no piece; rows delivered twice give their pieces once. Stored lengths,
-flags, codes and bounds are not read.
+are not cut (their limit is unknown); rows within the limit give no piece; of a row delivered repeatedly the earliest loaded counts (of equal
+times the one of least hash), even if only another one is over the limit. Stored lengths, flags, codes and bounds are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Strength of the boundary after a token with this mark; zone marks and list items have theirs before the token.
 AFTER = {"paragraph": 7, "line": 5, "sentence": 4, "clause": 2, "close": 1}
@@ -134,37 +135,41 @@ def split_oversized(rows: DataFrame, config: DataFrame, marks: DataFrame) -> Dat
         raise ValueError("token_marks is larger than a table of settings")
     shared = rows.sparkSession.sparkContext.broadcast(known)
     sizes = config.where("max_seq_length >= 1").select("config_id", F.col("max_seq_length").alias("_limit"), F.greatest(F.coalesce("chunk_overlap", F.lit(0)), F.lit(0)).alias("_overlap")).dropDuplicates(["config_id"])
-    ids = [F.coalesce(F.col(c), F.array().cast("array<int>")).alias(c) for c in ("prompt_ids", "context_ids", "response_ids")]
-    total = F.size("prompt_ids") + F.size("context_ids") + F.size("response_ids")
-    over = rows.select("sample_id", "config_id", *ids).join(sizes, "config_id").where(total > F.col("_limit"))
+    zones = ("prompt_ids", "context_ids", "response_ids")
+    ids = [F.coalesce(F.col(c), F.array().cast("array<int>")).alias(c) for c in zones]
+    total = sum((F.size(c) for c in zones[1:]), F.size(zones[0]))
+    at = F.col("loaded_at") if "loaded_at" in rows.columns else F.lit(None).cast("timestamp")
+    known_rows = rows.select("sample_id", "config_id", at.alias("_at"), F.xxhash64(*zones).alias("_hash"), *ids).join(sizes, "config_id")
+    # Every row is carried to the choice of the earliest, but ids only of rows over the limit leave the scan.
+    over = [F.when(total > F.col("_limit"), F.col(c)).alias(c) for c in zones]
+    carried = known_rows.select("sample_id", "config_id", "_at", "_hash", "_limit", "_overlap", *over)
+    kind = carried.schema["_at"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             cols = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-            took, no, start, end, power, case, bounds = [], [], [], [], [], [], []
             limits, overlaps = cols["_limit"].to_pylist(), cols["_overlap"].to_pylist()
+            cases, cut = [], []
             for row in range(batch.num_rows):
-                p, c, r = (cols[k][row].as_py() for k in ("prompt_ids", "context_ids", "response_ids"))
-                limit = limits[row]
-                pieces = split_bounds(p + c + r, [len(p), len(p) + len(c)], limit, overlaps[row], table)
-                half = limit // 2
-                code = (3 if len(p) + len(c) > half else 2) if len(r) > half else 1
-                cuts = [e for _, e, _ in pieces[:-1]]
-                for k, (s, e, w) in enumerate(pieces):
-                    took.append(row)
-                    no.append(k)
-                    start.append(s)
-                    end.append(e)
-                    power.append(w)
-                    case.append(code)
-                    bounds.append(cuts)
-            pick = pa.array(np.array(took, dtype=np.int64))
-            ints = [pa.array(x, type=pa.int32()) for x in (no, start, end, power, [1] * len(no), case)]
-            yield pa.RecordBatch.from_arrays([cols["sample_id"].take(pick), cols["config_id"].take(pick), *ints, pa.array(bounds, type=pa.list_(pa.int32()))], names=["sample_id", "config_id", "piece_no", "piece_start", "piece_end", "end_strength", "is_chunked", "case_code", "chunk_bounds"])
-
-    schema = "sample_id bigint, config_id int, piece_no int, piece_start int, piece_end int, end_strength int, is_chunked int, case_code int, chunk_bounds array<int>"
-    return over.mapInArrow(run, schema).dropDuplicates(["sample_id", "config_id", "piece_no", "piece_start", "piece_end"])
+                p, c, r = (cols[k][row].as_py() for k in zones)
+                if p is None:
+                    cases.append(None)
+                    cut.append(None)
+                    continue
+                half = limits[row] // 2
+                cases.append((3 if len(p) + len(c) > half else 2) if len(r) > half else 1)
+                pieces = split_bounds(p + c + r, [len(p), len(p) + len(c)], limits[row], overlaps[row], table)
+                cut.append([{"piece_start": s, "piece_end": e, "end_strength": w} for s, e, w in pieces])
+            kinds = pa.list_(pa.struct([(k, pa.int32()) for k in ("piece_start", "piece_end", "end_strength")]))
+            yield pa.RecordBatch.from_arrays([*(cols[k] for k in ("sample_id", "config_id", "_at", "_hash")), pa.array(cases, pa.int32()), pa.array(cut, kinds)], names=["sample_id", "config_id", "_at", "_hash", "case_code", "pieces"])
+
+    schema = f"sample_id bigint, config_id int, _at {kind}, _hash bigint, case_code int, pieces array<struct<piece_start: int, piece_end: int, end_strength: int>>"
+    cut = carried.mapInArrow(run, schema)
+    first = cut.groupBy("sample_id", "config_id").agg(F.min(F.struct("_at", "_hash", "case_code", "pieces")).alias("_r")).select("sample_id", "config_id", "_r.case_code", "_r.pieces")
+    bounds = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda p: p["piece_end"])
+    out = first.where("pieces IS NOT NULL").select("sample_id", "config_id", "case_code", bounds.alias("chunk_bounds"), F.posexplode("pieces").alias("piece_no", "_p"))
+    return out.select("sample_id", "config_id", "piece_no", "_p.piece_start", "_p.piece_end", "_p.end_strength", F.lit(1).alias("is_chunked"), "case_code", "chunk_bounds")
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +185,17 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of a row must keep: they cover it from 0 to its end, each within the limit, neighbours share the overlap of the config."""
+    w = Window.partitionBy("sample_id", "config_id").orderBy("piece_no")  # the pieces of one row
+    config = spark.read.parquet(f"{sf_dir}/build_config.parquet").select("config_id", "max_seq_length", "chunk_overlap")
+    p = _pieces(spark, sf_dir).withColumn("_shared", F.lag("piece_end").over(w) - F.col("piece_start")).join(config, "config_id")
+    return p.groupBy("sample_id", "config_id").agg(
+        F.min("piece_start").cast("long").alias("first_start"), F.max("piece_end").cast("long").alias("last_end"), F.bool_and(F.col("piece_end") - F.col("piece_start") <= F.col("max_seq_length")).alias("within_limit"),
+        F.min("_shared").cast("long").alias("least_shared"), F.max("_shared").cast("long").alias("most_shared"),
+    )
+
+
 ORACLES = {
     "p3_found": """
 SELECT sample_id, config_id, max(CASE WHEN r > m // 2 AND i > m // 2 THEN 3 WHEN r > m // 2 THEN 2 ELSE 1 END)::INTEGER AS case_code
@@ -187,5 +203,12 @@ FROM (SELECT sample_id, config_id, coalesce(len(prompt_ids), 0) + coalesce(len(c
              coalesce(len(response_ids), 0) AS r, max_seq_length AS m
       FROM tokenized JOIN build_config USING (config_id))
 WHERE i + r > m GROUP BY sample_id, config_id
-"""
+""",
+    "p3_coverage": """
+SELECT sample_id, config_id, 0::BIGINT AS first_start, max(n)::BIGINT AS last_end, true AS within_limit, max(least(coalesce(chunk_overlap, 0), m - 1))::BIGINT AS least_shared,
+       max(least(coalesce(chunk_overlap, 0), m - 1))::BIGINT AS most_shared
+FROM (SELECT sample_id, config_id, coalesce(len(prompt_ids), 0) + coalesce(len(context_ids), 0) + coalesce(len(response_ids), 0) AS n, max_seq_length AS m, chunk_overlap
+      FROM tokenized JOIN build_config USING (config_id))
+WHERE n > m GROUP BY sample_id, config_id
+""",
 }

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lenforge import session
 from lenforge.llm import abuse, encoding, mixing, neardup, packing, pairs, percentiles, splitting
 
 T0 = datetime(2024, 1, 1)
@@ -122,12 +123,25 @@ def test_percentiles_and_parts(spark):
     assert len(got) == 12
     # Rows delivered in both parts count once.
     a, b = df.where("sample_id < 1500"), df.where("sample_id >= 1000")
-    both = percentiles.combine_states(*(percentiles.keyed_state(x, key, groups, "v", "loaded_at") for x in (a, b)), key)
+    both = percentiles.combine_states(*(percentiles.keyed_state(x, key, groups, "v", "loaded_at") for x in (a, b)), key=key)
     again = {(r.dataset, r.percentile): r.value for r in percentiles.percentiles(percentiles.counted_state(both, groups, "v"), groups, (0.5,), 3).collect()}
     assert again == {k: v for k, v in got.items() if k[1] == 0.5}
     assert percentiles.percentiles(percentiles.counted_state(state.where("false"), groups, "v"), groups).count() == 0
 
 
+def test_the_earliest_delivery_counts_in_combined_states(spark):
+    rows = [(1, 1, "a", 50.0, T0), (2, 1, "a", 7.0, T0), (1, 1, "a", 5.0, T0 + timedelta(1)), (3, 1, "b", 1.0, None)]
+    df = spark.createDataFrame(rows, "sample_id bigint, config_id int, dataset string, v double, loaded_at timestamp")
+    key, groups = ("sample_id", "config_id"), ("dataset", "config_id")
+    state = lambda x: percentiles.keyed_state(x, key, groups, "v", "loaded_at")
+    one, two, rest = df.where(F.col("loaded_at") == T0), df.where(F.col("loaded_at") > T0), df.where("loaded_at IS NULL")
+    for parts in ([df], [one, two, rest], [two, rest, one]):
+        got = percentiles.combine_states(*map(state, parts), key=key)
+        assert sorted((r.sample_id, r.v) for r in got.collect()) == [(1, 50.0), (2, 7.0), (3, 1.0)]
+    counts = percentiles.combine_counts(*(percentiles.counted_state(state(x), groups, "v") for x in (one, rest)))
+    assert sorted((r.value, r.n) for r in counts.collect()) == [(1.0, 1), (7.0, 1), (50.0, 1)]
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 MARKS = {3: "zone", 10: "paragraph", 11: "line", 12: "sentence", 17: "clause", 22: "code", 23: "open", 24: "close", 25: "quote", 26: "item"}
@@ -166,12 +180,31 @@ def test_split_table(spark):
     assert splitting.split_oversized(df.where("false"), config, marks).count() == 0
 
 
+def test_of_conflicting_deliveries_the_earliest_is_cut(spark):
+    late, early = T0 + timedelta(1), T0
+    rows = [(1, 1, [500] * 30, [], [7] * 5, late), (1, 1, [500] * 9, None, [7] * 9, early), (2, 1, [500] * 30, [], [7], late), (2, 1, [500], None, [7], early), (3, 1, [500] * 30, [], [7], early), (3, 1, [5], [], [7], late)]
+    df = spark.createDataFrame(rows, "sample_id bigint, config_id int, prompt_ids array<int>, context_ids array<int>, response_ids array<int>, loaded_at timestamp")
+    config = spark.createDataFrame([(1, 10, 3)], "config_id int, max_seq_length int, chunk_overlap int")
+    out = splitting.split_oversized(df.repartition(4), config, spark.createDataFrame([(10, "line")], "token_id int, mark string")).collect()
+    ends = {i: sorted((r.piece_no, r.piece_start, r.piece_end) for r in out if r.sample_id == i) for i in (1, 2, 3)}
+    assert [p[0] for p in ends[1]] == list(range(len(ends[1]))) and ends[1][-1][2] == 18 and not ends[2] and ends[3][-1][2] == 31
+    assert all(b[1] == a[2] - 3 for i in (1, 3) for a, b in itertools.pairwise(ends[i]))
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("sent", [neardup.SENT_ROWS, -1])
-def test_near_duplicates(spark, monkeypatch, sent):
-    monkeypatch.setattr(neardup, "SENT_ROWS", sent)  # by broadcast, and by shuffle
+@pytest.mark.parametrize("settings", [{}, {"PAIRED": 1, "BLOCK": 5}, {"PAIRED": 2}, {"HOT_SHARE": 1e-4, "HOT_LEAST": 2, "BLOCK": 3}])
+def test_near_duplicates(spark, monkeypatch, settings):
+    for name, value in settings.items():  # buckets that give pairs, that are compared in blocks, and hot ones
+        monkeypatch.setattr(neardup, name, value)
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.written(df)
+
+    monkeypatch.setattr(neardup, "written", written)
     rng = random.Random(3)
     rows, base = [], [[f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(5, 120))] for _ in range(25)]
     for k, words in enumerate(base):
@@ -194,8 +227,40 @@ def test_near_duplicates(spark, monkeypatch, sent):
     assert got == want and (9902, 9903) in got
     grouped = {r.id: r.group_id for r in neardup.groups(found, members).collect()}
     assert all(grouped[a] == grouped[b] for a, b in want) and set(grouped) == {x for p in want for x in p}
+    # Only the slots of the texts to verify are broadcast, whatever the optimizer makes of the sizes.
+    assert sum(p.count("BroadcastHashJoin") for p in plans) == 1 and any("SortMergeJoin" in p for p in plans)
     found, members = neardup.near_duplicates(df.where("false"))
     assert neardup.all_pairs(found, members).count() == 0
+    assert neardup.groups(found, members).count() == 0
+
+
+def test_texts_of_one_key_are_told_apart(spark, monkeypatch):
+    rows = [(i, T0, f"a b c d e {'f' if i % 2 else 'g h'} {i // 4}", "x y z") for i in range(24)]
+    df = spark.createDataFrame(rows, "id bigint, at timestamp, instruction string, response string")
+    want = sorted(map(tuple, neardup.all_pairs(*neardup.near_duplicates(df)).collect()))
+    every = [r.one for r in neardup._features(df).collect()]
+    monkeypatch.setattr(neardup, "_conflicts", lambda features: every[::2])
+    assert sorted(map(tuple, neardup.all_pairs(*neardup.near_duplicates(df)).collect())) == want and want
+
+
+def test_groups_raise_if_they_do_not_settle(spark):
+    n = 40
+    pairs_ = spark.createDataFrame([(i, i + 1, 0.6) for i in range(n)], "a bigint, b bigint, similarity double")
+    members = spark.createDataFrame([(i, i) for i in range(n + 3)], "id bigint, rep bigint")
+    assert {(r.id, r.group_id) for r in neardup.groups(pairs_, members).collect()} == {(i, 0) for i in range(n + 1)}
+    with pytest.raises(RuntimeError):
+        neardup.groups(pairs_, members, rounds=2)
+
+
+def test_block_pruning_equals_pair_pruning():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (30, 64), dtype=np.uint8)
+    a, b = (np.where(rng.random((30, 64)) < rng.random((30, 1)), base, rng.integers(0, 256, (30, 64), dtype=np.uint8)) for _ in range(2))
+    x, y = np.meshgrid(np.arange(30), np.arange(30), indexing="ij")
+    alive = neardup.prune(a[x.ravel()], b[y.ravel()])
+    want = set(zip(x.ravel()[alive].tolist(), y.ravel()[alive].tolist(), strict=True))
+    got = {(i, j) for p, q in neardup.prune_blocks(a, b, False, rows=7) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
+    assert got == want and want
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
