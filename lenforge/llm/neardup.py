@@ -40,9 +40,12 @@ from lenforge.session import discard, written
 
 THRESHOLD, SHINGLE = 0.5, 3
 #: Bands of ROWS min-hashes each make the buckets; COMPARED further ones serve the pruning.
-ROWS, BANDS, COMPARED = 4, 72, 64
+ROWS, BANDS, COMPARED = 4, 72, 128
 HASHES = ROWS * BANDS
-STEPS = (8, 16, 24, 32, 48, 64)
+#: Of each compared min-hash four bits are kept, two in a byte: hashes that differ agree by chance once in 16.
+CHANCE = 1 / 16
+WIDTH = COMPARED // 2
+STEPS = (16, 24, 32, 48, 64, 96, 128)
 TOLERANCE = 1e-5
 #: Texts of a bucket that give their pairs directly; texts of a block of a larger bucket.
 PAIRED, BLOCK = 256, 16_384
@@ -155,23 +158,31 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def least_agreements(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
-    """The fewest agreements in n for which P(similarity >= threshold) is not below the tolerance, under a uniform prior."""
+    """The fewest agreements in n for which P(similarity >= threshold) is not below the tolerance, under a uniform prior on the rate of agreement."""
+    rate = threshold + (1 - threshold) * CHANCE
     for m in range(n + 1):
-        # P(Beta(m+1, n-m+1) >= t) is the chance of at most m successes in n+1 draws of chance t.
-        tail = sum(comb(n + 1, k) * threshold**k * (1 - threshold) ** (n + 1 - k) for k in range(m + 1))
+        # P(Beta(m+1, n-m+1) >= rate) is the chance of at most m successes in n+1 draws of chance rate.
+        tail = sum(comb(n + 1, k) * rate**k * (1 - rate) ** (n + 1 - k) for k in range(m + 1))
         if tail >= tolerance:
             return m
     return n
 
 
+def sketches(sigs: np.ndarray) -> np.ndarray:
+    """The compared min-hashes, two in a byte."""
+    # A least hash begins with zeros: its bits are mixed first.
+    high = (sigs[:, HASHES:] * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint8)
+    return high[:, 0::2] << np.uint8(4) | high[:, 1::2]
+
+
 def prune(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Which rows of two signature matrices stay candidates, compared step by step."""
+    """Which rows of two matrices of sketches stay candidates, compared step by step."""
     alive = np.arange(len(a))
     agreed = np.zeros(len(a), dtype=np.int64)
     before = 0
     for n in STEPS:
-        agreed = agreed + (a[alive, before:n] == b[alive, before:n]).sum(axis=1)
-        # One-byte hashes agree by chance once in 256; the surplus only keeps pairs for the exact check.
+        differ = a[alive, before // 2 : n // 2] ^ b[alive, before // 2 : n // 2]
+        agreed = agreed + (differ < 16).sum(axis=1) + ((differ & 15) == 0).sum(axis=1)
         keep = agreed >= least_agreements(n, threshold, tolerance)
         alive, agreed, before = alive[keep], agreed[keep], n
     return alive
@@ -186,9 +197,11 @@ def prune_blocks(a: np.ndarray, b: np.ndarray, same: bool, threshold: float = TH
         if same:
             alive = np.arange(len(b))[None, :] > np.arange(at, at + len(part))[:, None]
         agreed, before = np.zeros(alive.shape, dtype=np.uint8), 0
-        for n in [s for s in STEPS if s <= 32]:
-            for k in range(before, n):
-                agreed += part[:, k, None] == bt[None, k]
+        for n in STEPS[:3]:
+            for k in range(before // 2, n // 2):
+                differ = part[:, k, None] ^ bt[None, k]
+                agreed += differ < 16
+                agreed += (differ & 15) == 0
             alive &= agreed >= least_agreements(n, threshold, tolerance)
             before = n
         x, y = np.nonzero(alive)
@@ -215,8 +228,7 @@ def _features(rows: DataFrame) -> DataFrame:
                 sigs = texts.signatures()
                 pick = pa.array(kept, pa.int64())
                 keys = [pa.array(x.view(np.int64)) for x in (texts.one, texts.two)]
-                sketch = (sigs[:, HASHES:] >> np.uint32(24)).astype(np.uint8)
-                columns = [batch.column("id").take(pick), batch.column("at").take(pick), *keys, pa.array(np.diff(texts.start).astype(np.int32)), _fixed(band_keys(sigs)), _fixed(sketch)]
+                columns = [batch.column("id").take(pick), batch.column("at").take(pick), *keys, pa.array(np.diff(texts.start).astype(np.int32)), _fixed(band_keys(sigs)), _fixed(sketches(sigs))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "one", "two", "n", "bands", "sketch"])
 
     at = rows.schema["at"].dataType.simpleString()
@@ -380,7 +392,7 @@ def _blocks(members: DataFrame, threshold: float, tolerance: float) -> DataFrame
         x, y = (frame[frame["_own"] == k] for k in (i, j))
         a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         if len(x) and len(y):
-            ax, by = (np.frombuffer(b"".join(f["sketch"]), dtype=np.uint8).reshape(-1, COMPARED) for f in (x, y))
+            ax, by = (np.frombuffer(b"".join(f["sketch"]), dtype=np.uint8).reshape(-1, WIDTH) for f in (x, y))
             for p, q in prune_blocks(ax, by, i == j, threshold, tolerance):
                 a.append(x["text"].to_numpy()[p])
                 b.append(y["text"].to_numpy()[q])
@@ -415,7 +427,7 @@ def _hot_members(features: DataFrame, hot: dict[int, int]) -> DataFrame:
 def _kept(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (_matrix(batch.column(c), COMPARED, np.uint8) for c in ("sketch_a", "sketch_b"))
+            a, b = (_matrix(batch.column(c), WIDTH, np.uint8) for c in ("sketch_a", "sketch_b"))
             yield batch.select(["a", "b"]).take(pa.array(prune(a, b, threshold, tolerance)))
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
@@ -431,7 +443,10 @@ def _likely_pairs(features: DataFrame, threshold: float, tolerance: float) -> Da
     compared = candidates.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
     # Sizes that differ too much cannot reach the threshold.
     compared = compared.where((F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold))
-    kept = _kept(compared.select("a", "b", "sketch_a", "sketch_b"), threshold, tolerance)
+    # The smaller set of a pair is a: it is the one that travels to the other for the exact check.
+    swap = F.col("n_a") > F.col("n_b")
+    other = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    kept = _kept(compared.select(other("a", "b").alias("a"), other("b", "a").alias("b"), "sketch_a", "sketch_b"), threshold, tolerance)
     large = found.where("b IS NULL").select(F.col("a").alias("text"), "band", "size")
     in_blocks = []
     if hot:
@@ -440,7 +455,10 @@ def _likely_pairs(features: DataFrame, threshold: float, tolerance: float) -> Da
         in_blocks.append(large.hint("merge").join(sketch.hint("merge"), "text").select("band", "size", "text", "sketch"))
     for members in in_blocks:
         kept = kept.unionByName(_blocks(members, threshold, tolerance))
-    kept = written(kept.distinct() if in_blocks else kept)
+    if in_blocks:
+        # Pairs of blocks may be candidates of small buckets as well, in either order.
+        kept = kept.select("a", "b", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")).dropDuplicates(["_lo", "_hi"]).select("a", "b")
+    kept = written(kept)
     discard(found)
     return kept
 
@@ -489,18 +507,19 @@ def near_duplicates(samples: DataFrame, threshold: float = THRESHOLD, tolerance:
     # Of a sample delivered with several texts one counts; a text without a member is dropped here, with its pairs.
     reps = members.groupBy("text").agg(F.min("id").alias("rep"))
     kept = _likely_pairs(features, threshold, tolerance)
-    needed = written(kept.select(F.explode(F.array("a", "b")).alias("text")).distinct().hint("merge").join(reps.hint("merge"), "text"))
     # The texts to verify are found by slots of their ids, a table of bounded size, so that only they (and few others) are shuffled.
+    needed = kept.select(F.explode(F.array("a", "b")).alias("text")).distinct().hint("merge").join(reps.hint("merge"), "text")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     few = named.withColumn("_slot", slot("id")).join(F.broadcast(needed.select(slot("rep").alias("_slot")).distinct()), "_slot", "left_semi")
     sets = _run_sets(few).select(name.alias("text"), "shingles").dropDuplicates(["text"])
-    sets = written(sets.hint("merge").join(needed.select("text", F.col("rep").alias("id")).hint("merge"), "text"))
-    side = lambda c: sets.select(F.col("text").alias(c), F.col("id").alias(f"id_{c}"), F.col("shingles").alias(f"shingles_{c}")).hint("merge")
+    side = lambda c: sets.select(F.col("text").alias(c), F.col("shingles").alias(f"shingles_{c}")).hint("merge")
     both = kept.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-    ordered = both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shingles_a", "shingles_b")
-    pairs = written(_verified(ordered, threshold))
+    found = written(_verified(both.select("a", "b", "shingles_a", "shingles_b"), threshold))
+    by = lambda c: reps.select(F.col("text").alias(c), F.col("rep").alias(f"rep_{c}")).hint("merge")
+    ids = found.hint("merge").join(by("a"), "a").hint("merge").join(by("b"), "b")
+    pairs = written(ids.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "similarity"))
     membership = written(members.hint("merge").join(reps.select("text", "rep").hint("merge"), "text").select("id", "rep"))
-    for table in (sets, needed, kept, members, features):
+    for table in (found, kept, members, features):
         discard(table)
     return pairs, membership
 
