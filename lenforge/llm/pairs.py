@@ -6,9 +6,10 @@ refusal         phrase automata find sentences that decline, and no sentence ans
 wrong_language  votes of function words (or the script) name another language than the instruction's or the one it asks for
 truncated       a stack of delimiters stays open, a list ends in an empty item, or the last words break off
 
-A last sentence without a final mark is judged by a linear model of sentence ends, fitted on whole and cut sentences of a
-bounded sample of responses (``SAMPLE_ROWS``, chosen by a hash of the key): it separates a missing mark from a sentence that breaks off.
-The words it knows are counted over the complete sentences of all responses; they reach it as eight bytes each.
+A last sentence without a final mark is judged by a linear model of sentence ends (``EndModel``), fitted in one task on sentences labelled
+whole or cut, of a bounded sample of responses (``SAMPLE_ROWS`` of at most ``SAMPLE_CHARS`` characters, chosen by a hash of the key): it separates a
+missing mark from a sentence that breaks off. The words it knows are counted over the complete sentences of all responses and reach it as bits of a
+fixed number. A fitted model may be saved and given to ``broken_pairs`` again, so that verdicts on old rows stay when rows come in.
 
 A pair has one defect at most, the first in the order above. Defined results: a null response is empty; a null instruction asks
 for nothing (no copy, no language); a sample delivered repeatedly counts once (earliest loaded); rows of null key are left out; texts are
@@ -22,6 +23,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Container, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lenforge.llm import phrases as P
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 1 << 15
 DIMS = 1 << 18
 #: Words a counting task holds before it hands on its counts.
 HELD_WORDS = 1_000_000
@@ -50,6 +52,8 @@ _BARE = re.compile(r"(?:^|\n)[^\S\n]*([-*•–]|(?:\d{1,3}|[A-Za-z])[.)])[^\S\n
 _MARKED = re.compile(r"^[^\S\n]*([-*•–]|(?:\d{1,3}|[A-Za-z])[.)])[^\S\n]+\S", re.M)
 #: Brackets that open nothing: faces, single quoted ones and code, intervals that are open at one end.
 _NO_BRACKET = re.compile(r"(?<!\S)[:;]['’]?-?[(\[{]+(?!\S)|`[^`\n]*`|([\"'])[()\[\]{}]\1|[“‘«][()\[\]{}][”’»]|\([^()\[\]\n]{1,40},[^()\[\]\n]{1,40}\]|\[[^()\[\]\n]{1,40},[^()\[\]\n]{1,40}\)|\][^()\[\]\n]{1,40},[^()\[\]\n]{1,40}\[")
+# Words that end no answer.
+_JOINING = frozenset("the of and or a an to with for from by at in der die das und oder ein eine mit von zu für des et ou le les de du dans pour avec une y o el los las un una del con para por".split())
 _ARABIC = re.compile(r"[؀-ۿ]+")
 _MARKS = frozenset(".,;:!?؟،؛…。–—-()[]{}<>\"'”’»«“`=+*/\\|&@#%$_")
 #: What may stand after the last sentence without belonging to it: a link, a short remark in brackets or quotes.
@@ -140,10 +144,14 @@ def is_copy(instruction: str, low: str, asked: list[str], words: list[str]) -> b
     if asked and words[:1] == ["instruction"]:
         words = words[1:]
     n, m = len(asked), len(words)
-    if m < 4 or n < 4 or not 0.5 * n <= m <= 1.25 * n + 4:
+    if not n or not m:
         return False
-    share, met = copied(asked, words)
-    if share < 0.55:
+    if m * 2 < n:
+        # A part of the instruction is a copy only if it is its beginning: other parts may be what was asked for.
+        return m > 2 and words == asked[:m] and not asks_repeat(low)
+    share, met = copied(asked, words, min(2, n))
+    # Changed words are looked for in answers about as long as the instruction; a longer one gives back nothing else.
+    if share < (0.55 if m <= 1.25 * n + 4 and min(n, m) > 3 else 0.95):
         return False
     head = instruction.find(":")
     lead = len(_WORD.findall(instruction[:head])) if head >= 0 else 0
@@ -161,8 +169,20 @@ def is_copy(instruction: str, low: str, asked: list[str], words: list[str]) -> b
 @lru_cache(maxsize=None)
 def automaton(name: str) -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    for p in getattr(P, name):
-        auto.add_word(p, p)
+    if name == "DECLINE":
+        # Parts bear (template, side), idioms stand for a whole template.
+        found: dict[str, list[tuple[int, int]]] = {}
+        for t, sides in enumerate(P.DECLINE_PARTS):
+            for side, phrases in enumerate(sides):
+                for p in phrases:
+                    found.setdefault(f" {p}" if p.isascii() or side == 0 else p, []).append((t, side))
+        for p in P.DECLINE_IDIOMS:
+            found.setdefault(p, []).append((-1, 1))
+        for p, marks in found.items():
+            auto.add_word(p, (len(p), marks))
+    else:
+        for p in getattr(P, name):
+            auto.add_word(p, p)
     auto.make_automaton()
     return auto
 
@@ -171,24 +191,44 @@ def finds(name: str, text: str) -> bool:
     return next(automaton(name).iter(text), None) is not None
 
 
+@lru_cache(maxsize=None)
+def _adverbs() -> re.Pattern[str]:
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, P.ADVERBS))})(?!\w)[, ]*")
+
+
+#: Characters that may lie between the parts of a refusal: an object, "to", "you with".
+BETWEEN = 24
+
+
+def declines(clause: str) -> bool:
+    """Whether a clause holds an idiom, or a first part and soon after it a second part of one template."""
+    text = " " + re.sub(r"[\s,]+", " ", _adverbs().sub("", clause))
+    ends: dict[int, int] = {}
+    for end, (length, marks) in automaton("DECLINE").iter(text):
+        # A first part ends with its word.
+        whole = end + 1 == len(text) or not text[end + 1].isalnum()
+        for template, side in marks:
+            if side == 1 and (template < 0 or 0 <= end - length + 1 - ends.get(template, -1000) <= BETWEEN):
+                return True
+        for template, side in marks:
+            if side == 0 and whole:
+                ends[template] = end + 1
+    return False
+
+
 def fold(text: str) -> str:
     """Lower case, plain apostrophes, single spaces inside lines."""
     return re.sub(r"[^\S\n]+", " ", text.lower().replace("’", "'"))
 
 
 def is_refusal(low_instruction: str, low: str) -> bool:
-    if not finds("DECLINE", low) or finds("ASKS_REFUSAL", low_instruction):
+    clauses = [s for s in re.split(r"[.!?؟…;\n]+", low) if s.strip()]
+    if not any(map(declines, clauses)) or finds("ASKS_REFUSAL", low_instruction):
         return False
-    declines = 0
-    for s in re.split(r"[.!?؟…;\n]+", low):
-        n = len(_WORD.findall(s))
-        if n == 0:
-            continue
-        if finds("DECLINE", s):
-            declines += 1
-        elif n > 2 and not finds("REDIRECT", s):
+    for s in clauses:
+        if len(_WORD.findall(s)) > 2 and not declines(s) and not finds("REDIRECT", s):
             return False
-    return declines > 0
+    return True
 
 
 # --- languages -------------------------------------------------------------------------------------------------------
@@ -208,21 +248,32 @@ def _names() -> dict[str, str]:
     return {w: lang for lang, words in P.LANGUAGE_NAMES.items() for w in words.split()}
 
 
+@lru_cache(maxsize=None)
+def _scripts() -> tuple[re.Pattern[str], dict[str, re.Pattern[str]]]:
+    return re.compile(f"[{''.join(P.SCRIPTS.values())}]"), {lang: re.compile(f"[{letters}]") for lang, letters in P.SCRIPTS.items()}
+
+
 def language(text: str, words: list[str]) -> str | None:
-    """The language most votes name; None without a clear majority."""
-    n = len(words)
-    if n < 4:
+    """The language of the script most letters belong to, or else of most function words; None without a clear majority."""
+    other, by_script = _scripts()
+    if not text.isascii() and (found := len(other.findall(text))) >= 8:
+        letters = sum(map(str.isalpha, text))
+        if found * 2 > letters:
+            counts = {lang: len(p.findall(text)) for lang, p in by_script.items()}
+            # Japanese mixes its own letters with Chinese ones.
+            if counts["ja"] * 8 > counts["zh"] > 0:
+                counts["ja"] += counts["zh"]
+            best = max(counts, key=counts.get)
+            return best if counts[best] * 2 > found else None
+    if len(words) < 4:
         return None
-    if len(_ARABIC.findall(text)) * 2 > n:
-        return "ar"
-    score = {"en": 0.0, "de": 0.0, "fr": 0.0, "es": 0.0, "ar": 0.0}
+    score: dict[str, float] = {}
     for voted, times in Counter(map(_votes().get, words)).items():
         for lang in voted or ():
-            score[lang] += times / len(voted)
-    del score["ar"]
-    best = max(score, key=score.get)
-    total = sum(score.values())
-    return best if score[best] >= 2 and score[best] > 0.5 * total else None
+            score[lang] = score.get(lang, 0.0) + times / len(voted)
+    best = max(score, key=score.get, default=None)
+    second = max((v for k, v in score.items() if k != best), default=0.0)
+    return best if best and score[best] >= 2 and score[best] >= 1.25 * second else None
 
 
 def asked_languages(low_instruction: str, asked: list[str]) -> set[str]:
@@ -302,19 +353,19 @@ def word_hash(word: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+#: Bits of the vocabulary: its size whatever the corpus. A word shares its bit with another one of n words with a chance of about n / VOCABULARY_BITS.
+VOCABULARY_BITS = 1 << 26
+
+
 class Vocabulary:
-    """Words by their sorted hashes."""
+    """Words by bits of a fixed number; a few unknown words may count as known, never the other way round."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(np.int64))
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
     def __contains__(self, word: str) -> bool:
-        h = word_hash(word)
-        at = int(np.searchsorted(self.hashes, h))
-        return at < len(self.hashes) and int(self.hashes[at]) == h
-
-    def __len__(self) -> int:
-        return len(self.hashes)
+        h = word_hash(word) % VOCABULARY_BITS
+        return bool(int(self.bits[h >> 6]) >> (h & 63) & 1)
 
 
 def end_features(fragment: str, known: Container[str]) -> list[int]:
@@ -378,7 +429,12 @@ def vocabulary(samples: DataFrame, key: str) -> Vocabulary:
     rows = samples.where(F.col(key).isNotNull() & F.col("response").isNotNull()).select(F.xxhash64(key).alias("key"), "response")
     words = rows.mapInArrow(run, "word bigint, key bigint").groupBy("word")
     again = words.agg(F.bool_or(F.col("key").isNull()).alias("again"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("again OR lo <> hi")
-    return Vocabulary(again.select("word").toArrow().column("word").to_numpy())
+    # At most VOCABULARY_BITS / 64 rows reach the driver.
+    bit = again.select(F.pmod("word", F.lit(VOCABULARY_BITS)).alias("bit"))
+    cells = bit.groupBy(F.expr("shiftright(bit, 6)").cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(VOCABULARY_BITS // 64, dtype=np.uint64)
+    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
+    return Vocabulary(out)
 
 
 def fit_ends(texts: list[str], seed: int = 5, rounds: int = 80, known: Container[str] | None = None) -> tuple[np.ndarray, Container[str]]:
@@ -438,6 +494,18 @@ def _trimmed(body: str) -> str:
         body = before
 
 
+def _breaks_off(body: str, known: Container[str]) -> bool:
+    """Whether a few words break off, as whole answers may be as short: inside a word (known words, then an unknown one in small letters), or after a word that only joins others."""
+    words = body.split()
+    shape = _shape(words)
+    if len(words) < 2 or not words[-1].isalpha() or shape[-1] == "N":
+        return False
+    if _ARABIC.search(words[-1]):
+        # Names have no capitals there.
+        return False
+    return shape[-1] in _JOINING or (shape[-1] not in known and all(w in known or w in "#N" for w in shape[:-1]))
+
+
 def is_truncated(text: str, n_words: int, weights: np.ndarray, known: Container[str]) -> bool:
     body = text.strip()
     if "```" in body:
@@ -464,8 +532,10 @@ def is_truncated(text: str, n_words: int, weights: np.ndarray, known: Container[
     last = body[-1]
     if last in ",،;؛–—(":
         return True
-    if last in _FINAL or n_words <= 4:
+    if last in _FINAL:
         return False
+    if n_words <= 4:
+        return _breaks_off(body, known)
     # The last sentence, found from the end in growing windows.
     window = 400
     while window < len(body) and len([p for p in _SENTENCE.split(body[-window:]) if p and p.strip()]) < 2:
@@ -482,26 +552,32 @@ def is_truncated(text: str, n_words: int, weights: np.ndarray, known: Container[
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
+def _bare_words(low: str) -> str:
+    """The words of a text outside tags, as far as a placeholder may be long."""
+    out, length = [], 0
+    for m in _WORD.finditer(_TAGS.sub(" ", low) if "<" in low else low):
+        out.append(m.group())
+        length += len(out[-1]) + 1
+        if length > 60:
+            break
+    return " ".join(out)
+
+
 def defect(instruction: str | None, response: str | None, weights: np.ndarray, known: Container[str]) -> str | None:
     """The defect of one pair, or None."""
     instruction, response = instruction or "", response or ""
     low = response.lower()
-    if len(response) < 400:
-        bare = " ".join(_WORD.findall(_TAGS.sub(" ", low)))
-        if not bare:
-            return "empty"
-        if len(bare) < 40 and bare in P.PLACEHOLDERS and not (bare == "none" and instruction.lower().lstrip(" ¿").startswith(P.CHOICE)):
-            return "empty"
+    bare = _bare_words(low)
+    if not bare or (bare in P.PLACEHOLDERS and not (bare == "none" and instruction.lower().lstrip(" ¿").startswith(P.CHOICE))):
+        return "empty"
     prose = _FENCED.sub("\n", low) if "```" in low else low
     words = _WORD.findall(prose)
-    if not words and not _WORD.search(_TAGS.sub(" ", low)):
-        return "empty"
     low_instruction = fold(instruction)
     asked = _WORD.findall(low_instruction)
     if is_copy(instruction, low_instruction, asked, words):
         return "copy"
-    # White space may be doubled: the words with single spaces are searched first.
-    if finds("DECLINE", " ".join(prose.replace("’", "'").split())) and is_refusal(low_instruction, fold(prose)):
+    folded = fold(prose)
+    if finds("DECLINE", " " + folded) and is_refusal(low_instruction, folded):
         return "refusal"
     if is_wrong_language(low_instruction, asked, prose, words):
         return "wrong_language"
@@ -510,20 +586,54 @@ def defect(instruction: str | None, response: str | None, weights: np.ndarray, k
     return None
 
 
-def broken_pairs(samples: DataFrame, key: str = "sample_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(sample_id, defect) of each defective pair of ``samples``: sample_id, instruction, response [, loaded_at]."""
+@dataclass(frozen=True)
+class EndModel:
+    """What judges sentence ends: weights of hashed features, and the known words."""
+
+    weights: np.ndarray
+    known: Container[str]
+
+    def save(self, path: str) -> None:
+        np.savez_compressed(path, weights=self.weights, bits=self.known.bits)
+
+    @staticmethod
+    def read(path: str) -> EndModel:
+        with np.load(path) as f:
+            return EndModel(f["weights"], Vocabulary(f["bits"]))
+
+
+def end_model(samples: DataFrame, key: str = "sample_id", sample_rows: int = SAMPLE_ROWS) -> EndModel:
+    """Fits the model of sentence ends; the weights in one task, as their sample is bounded in rows and characters."""
     named = samples.where(F.col(key).isNotNull())
-    order = [F.col("loaded_at")] if "loaded_at" in samples.columns else []
+    known = vocabulary(named, key)
     # The bound on the hash is found on the keys alone, so that tasks send no more texts than the sample holds.
     hashed = F.xxhash64(key)
     top = named.select(hashed.alias("_h")).orderBy("_h").limit(sample_rows).agg(F.max("_h").alias("h")).first()["h"]
-    fit = sorted(named.where(hashed <= F.lit(top)).where("response IS NOT NULL").select(hashed.alias("_h"), "response").collect()) if top is not None else []
-    shared = samples.sparkSession.sparkContext.broadcast(fit_ends([r.response for r in fit], known=vocabulary(named, key)))
+    if top is None:
+        return EndModel(np.zeros(DIMS, dtype=np.float32), known)
+    chosen = named.where((hashed <= F.lit(top)) & (F.length("response") <= SAMPLE_CHARS)).select(hashed.alias("_h"), "response")
+    shared = samples.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(zip(*(sum((b.column(k).to_pylist() for b in batches_), []) for k in range(2)), strict=True)) if (batches_ := list(batches)) else []
+        # A sample delivered more often than expected does not widen the bound.
+        weights, _ = fit_ends([r for _, r in rows[: 2 * sample_rows]], known=shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
+
+    got = chosen.repartition(1).mapInArrow(run, "weights binary").first()
+    return EndModel(np.frombuffer(got["weights"], dtype=np.float32) if got else np.zeros(DIMS, dtype=np.float32), known)
+
+
+def broken_pairs(samples: DataFrame, key: str = "sample_id", sample_rows: int = SAMPLE_ROWS, model: EndModel | None = None) -> DataFrame:
+    """(sample_id, defect) of each defective pair of ``samples``: sample_id, instruction, response [, loaded_at]."""
+    named = samples.where(F.col(key).isNotNull())
+    order = [F.col("loaded_at")] if "loaded_at" in samples.columns else []
+    shared = samples.sparkSession.sparkContext.broadcast(model or end_model(samples, key, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known = shared.value
+        ends = shared.value
         for batch in batches:
-            found = [defect(i, r, weights, known) for i, r in zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)]
+            found = [defect(i, r, ends.weights, ends.known) for i, r in zip(batch.column("instruction").to_pylist(), batch.column("response").to_pylist(), strict=True)]
             columns = [batch.column("id"), pa.array(found, pa.string())] + [batch.column(c) for c in batch.schema.names[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "defect", *batch.schema.names[3:]])
 

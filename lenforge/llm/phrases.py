@@ -2,12 +2,23 @@
 
 # Frequent function words by language.
 STOPWORDS = {
-    "en": "the of and to in is was that it for with as be on not this are or an by at from you have has but will would can your about than more every which most they their its our if must",
+    "en": "the a of and to in is was that it for with as be on not this are or an by at from you have has but will would can your about than more every which most they their its our if must",
     "de": "der die das und ist nicht ein eine einen einem mit von zu den dem des im für auf war dass wie man sich wird oder auch bei aus nach über wenn weil sollte ich davon jeden doch",
-    "fr": "le la les des et est un une du dans pour que qui pas sur avec plus ce se ne au aux par il elle sont être été cette mais ou où si je dont",
+    "fr": "le la les des et est un une du dans pour que qui pas sur avec plus ce se ne au aux par il elle sont être été cette mais ou où si je dont de à en a d'un d'une c'est qu'il n'a",
     "es": "el la los las y es un una del de que en por con para no se su al lo más como pero fue era ser hay este esta sin si ellos",
+    "pt": "o os as e é um uma do da dos das em no na nos nas que não para com por mais como mas foi ao à pelo pela seu sua isso este esta são ou se eu você muito também já",
+    "it": "il lo gli e è un uno una di del della dei delle che non per con nel nella sono più come ma anche questo questa si al alla da dal ha hanno essere suo sua perché",
+    "nl": "de het een en van is dat niet op te in voor met zijn er aan ook als bij door maar om uit naar dan nog wel geen wordt worden deze dit heeft was ik je",
+    "pl": "i w na z że nie jest do się to jak po od za przez ale dla oraz tym który która są był była być tylko już może co czy",
+    "tr": "ve bir bu için ile de da ne çok daha gibi kadar olarak sonra ama en olan değil var ya her ki mi o şu",
+    "sv": "och att det som en är på för med av inte den till om har de ett var jag från men så kan när eller ska vi",
     "ar": "في من على إلى عن أن لا لم ما هو كان كانت هذا هذه التي الذي مع بعد قبل ثم منها",
 }
+# First and last letters of scripts that name a language (or a group of them) by themselves.
+SCRIPTS = {
+    "el": "Ͱ-Ͽἀ-῾", "ru": "Ѐ-ԯ", "hy": "Ա-֏", "he": "֐-״", "ar": "؀-ۿݐ-ݿ", "hi": "ऀ-ॿ", "bn": "ঀ-৾", "ta": "ஂ-௺", "te": "ఀ-౿", "th": "ก-๛", "ka": "Ⴀ-ჿ", "am": "ሀ-፼",
+    "ja": "ぁ-ヿ", "zh": "㐀-䶿一-鿿", "ko": "ᄀ-ᇿ가-힣",
+}
 # Names of languages, lower case, in the languages themselves.
 LANGUAGE_NAMES = {
     "en": "english englisch englische englischen anglais inglés ingles الإنجليزية الانجليزية",
@@ -15,6 +26,19 @@ LANGUAGE_NAMES = {
     "fr": "french französisch französische französischen français francés frances الفرنسية",
     "es": "spanish spanisch spanische spanischen espagnol español espanol الإسبانية",
     "ar": "arabic arabisch arabische arabischen arabe árabe العربية",
+    "pt": "portuguese portugiesisch portugiesische portugais portugués البرتغالية",
+    "it": "italian italienisch italienische italien italiano الإيطالية",
+    "nl": "dutch niederländisch niederländische néerlandais neerlandés holandés الهولندية",
+    "pl": "polish polnisch polnische polonais polaco البولندية",
+    "tr": "turkish türkisch türkische turc turco التركية",
+    "sv": "swedish schwedisch schwedische suédois sueco السويدية",
+    "ru": "russian russisch russische russe ruso الروسية",
+    "el": "greek griechisch griechische grec griego اليونانية",
+    "he": "hebrew hebräisch hebräische hébreu hebreo العبرية",
+    "hi": "hindi الهندية",
+    "zh": "chinese chinesisch chinesische mandarin chinois chino الصينية",
+    "ja": "japanese japanisch japanische japonais japonés اليابانية",
+    "ko": "korean koreanisch koreanische coréen coreano الكورية",
 }
 # What negates the name of a language that follows.
 NOT_BEFORE = ("not in", "nicht auf", "no en", "pas en", "وليس", "instead of", "statt")
@@ -26,18 +50,53 @@ PLACEHOLDERS = (
 )
 # Openings of questions that may be answered by "none".
 CHOICE = ("which", "how many", "is there", "are there", "who", "what", "welche", "wie viele", "lequel", "laquelle", "quel", "combien", "cuál", "cuántos", "qué", "أي", "كم")
-# Phrases that decline.
-DECLINE = (
-    "wont answer", "won't answer", "will not answer", "can't answer", "cannot answer", "can not answer", "unable to answer", "not able to answer", "refuse to answer",
-    "can't help", "cannot help", "can not help", "unable to help", "not able to help", "won't help", "can't assist", "cannot assist", "can not assist", "unable to assist", "not able to assist",
-    "can't provide", "cannot provide", "unable to provide", "not able to provide", "can't discuss", "cannot discuss", "unable to discuss", "not able to discuss", "able to discuss", "can't comply", "cannot comply",
-    "unable to comply", "can't fulfill", "cannot fulfill", "can't fulfil", "cannot fulfil", "can't do that", "cannot do that", "no can do", "no answer can be given", "must decline", "have to decline", "i decline", "need to decline",
-    "against my guidelines", "against our guidelines", "against policy", "against my policy", "against the policy", "violates my", "rather not", "prefer not to", "not be appropriate for me", "not appropriate for me",
-    "have to pass on", "feel qualified", "irresponsible of me", "not something i am", "not something i'm", "falls outside what", "outside what i am", "not permitted to", "not allowed to", "have the ability", "i refuse", "not comfortable",
-    "won't be able to", "will not be able to", "kann ich nicht helfen", "kann dabei nicht helfen", "nicht helfen", "keine auskunft", "eine antwort hier nicht möglich", "antwort ist nicht möglich", "lieber nicht", "nicht beantworten", "ablehnen", "gegen meine richtlinien",
-    "nicht in der lage", "verweigere", "ne peux pas", "ne suis pas en mesure", "ne suis pas autorisé", "aucune réponse ne peut", "impossible de vous aider", "m'est impossible", "préfère ne pas", "dois refuser", "dois décliner", "contraire à mes", "refuse de répondre",
-    "no puedo ayudar", "no puedo responder", "no puedo hablar", "no puedo proporcionar", "no es posible dar una respuesta", "debo rechazar", "prefiero no", "no tengo la capacidad", "no me está permitido", "va contra mis", "contra mis normas", "no estoy en condiciones", "me niego a",
-    "لا أستطيع المساعدة", "لا أستطيع الإجابة", "لا أستطيع تقديم", "لا أستطيع مساعدت", "لا يمكنني", "لا يسمح لي", "أرفض", "أفضل ألا", "أفضل عدم", "لا أملك القدرة", "ليس بإمكاني", "غير قادر على", "أعتذر عن",
+# Refusals by their parts. A clause declines if a first part is followed by a second one; adverbs between them are left out.
+# Per language: (what negates a will or power, verbs of answering), (what announces a decision, verbs of declining), and whole idioms.
+ADVERBS = (
+    "respectfully", "politely", "regretfully", "kindly", "really", "simply", "just", "unfortunately", "currently", "actually", "also", "therefore", "personally", "leider", "höflich", "einfach", "derzeit", "momentan", "daher", "dabei", "hier", "dazu", "malheureusement", "poliment", "simplement", "actuellement", "lamentablemente", "respetuosamente", "simplemente", "actualmente", "للأسف", "حاليا", "ببساطة",
+)
+DECLINE_PARTS = (
+    (
+        (
+            "can't", "cannot", "can not", "cant", "could not", "couldn't", "won't", "wont", "will not", "would not", "wouldn't", "should not", "shouldn't", "unable to", "not able to", "not allowed to", "not permitted to", "not authorized to", "not authorised to", "not willing to", "not going to", "not prepared to", "not in a position to",
+            "not qualified to", "not feel qualified to", "not comfortable", "not possible for me to", "not appropriate for me to", "inappropriate for me to", "rather not", "prefer not to", "choose not to", "want to avoid", "refuse to", "decline to", "won't be able to", "not be able to",
+        ),
+        (
+            "answer", "help", "assist", "aid", "provide", "discuss", "comply", "fulfil", "do that", "do this", "do so", "give", "offer", "share", "respond", "reply", "address", "say", "talk", "speak", "comment", "continue", "engage", "support", "advise", "generate", "produce", "create", "write", "complete", "carry out", "take part", "participate", "handle", "entertain", "go into", "get into",
+        ),
+    ),
+    (
+        ("must", "have to", "need to", "going to", "would like to", "i'd like to", "i will", "i'll", "choose to", "prefer to", "obliged to", "forced to", "i", "i am", "i'm", "afraid i", "we", "request i", "question i"),
+        ("decline", "declining", "refuse", "refusing", "abstain", "refrain", "pass on", "turn down", "turning down", "reject", "opt out", "bow out", "withhold"),
+    ),
+    (
+        ("kann", "können", "könnte", "werde", "möchte", "darf", "dürfen", "will", "mag"),
+        ("nicht helfen", "nicht beantworten", "nicht antworten", "nicht weiterhelfen", "nicht nachkommen", "nicht erfüllen", "nicht besprechen", "nicht sagen", "keine antwort geben", "keine auskunft", "nicht unterstützen", "nichts sagen", "nichts dazu sagen", "lieber nicht", "ablehnen", "keine hilfe", "nicht äußern"),
+    ),
+    (("muss", "müssen", "werde", "möchte", "ich", "leider"), ("ablehnen", "verweigere", "verweigern", "passen", "absehen von")),
+    (
+        ("ne peux pas", "ne peut pas", "ne puis", "ne pourrai pas", "ne suis pas en mesure de", "ne suis pas autorisé à", "ne suis pas autorisée à", "ne suis pas capable de", "ne souhaite pas", "ne vais pas", "m'est impossible de", "est impossible de", "préfère ne pas", "refuse de", "suis incapable de", "ne suis pas qualifié pour"),
+        ("répondre", "aider", "vous aider", "t'aider", "fournir", "discuter", "parler", "traiter", "donner", "dire", "satisfaire", "accéder", "en parler", "y répondre", "aborder", "faire cela", "me prononcer"),
+    ),
+    (("dois", "devons", "je", "vais", "préfère"), ("refuser", "décliner", "décline", "m'abstenir", "m'abstiens")),
+    (
+        ("no puedo", "no podemos", "no podré", "no soy capaz de", "no estoy en condiciones de", "no me está permitido", "no tengo permitido", "no tengo la capacidad de", "prefiero no", "me niego a", "no voy a", "no quiero", "no me es posible", "no estoy cualificado para", "no debo"),
+        ("ayudar", "ayudarte", "ayudarle", "responder", "contestar", "hablar", "proporcionar", "dar", "decir", "ofrecer", "tratar", "comentar", "atender", "cumplir", "discutir", "hacer eso", "hacerlo", "opinar"),
+    ),
+    (("debo", "tengo que", "voy a", "prefiero"), ("rechazar", "declinar", "abstenerme", "negarme")),
+    (
+        ("لا أستطيع", "لا يمكنني", "لا يسمح لي", "لا أقدر على", "أرفض", "أفضل ألا", "أفضل عدم", "ليس بإمكاني", "لست قادرا على", "غير قادر على", "لن أتمكن من", "أعتذر عن", "أمتنع عن"),
+        ("المساعدة", "مساعدت", "الإجابة", "تقديم", "الرد", "الحديث", "التحدث", "أن أجيب", "أن أساعد", "أن أقدم", "الخوض", "مناقشة", "أجيب", "أتحدث", "أتطرق", "ذلك"),
+    ),
+    (
+        ("language model", "as an ai", "an assistant", "sprachmodell", "modèle de langage", "modelo de lenguaje", "نموذجا لغويا", "نموذج لغوي"),
+        ("i can't", "i cannot", "i can not", "i'm not", "i am not", "i am unable", "i'm unable", "i do not have", "i don't have", "ich nicht", "ich keine", "je ne peux pas", "je ne suis pas", "no puedo", "no tengo", "no soy capaz", "لا أستطيع", "لا يمكنني", "لا أملك"),
+    ),
+)
+# Idioms that decline by themselves.
+DECLINE_IDIOMS = (
+    "irresponsible of me", "inappropriate of me", "wrong of me to", "not have the ability to", "lack the ability to", "no can do", "no answer can be given", "not something i", "not a topic i", "not a subject i", "against my guidelines", "against our guidelines", "against policy", "against my policy", "against the policy", "against our policy", "violates my", "violates our", "goes against my", "falls outside what", "outside what i am", "outside the scope of what i", "outside my scope", "beyond what i",
+    "not appropriate for me", "not be appropriate for me", "off limits for me", "count me out", "i am out of my depth", "eine antwort hier nicht möglich", "antwort ist nicht möglich", "nicht in der lage", "gegen meine richtlinien", "aucune réponse ne peut", "contraire à mes", "hors de mon domaine", "no es posible dar una respuesta", "va contra mis", "contra mis normas", "fuera de mi alcance", "لا أملك القدرة على", "ليست لدي القدرة على", "يتعارض مع إرشاداتي", "خارج نطاق",
 )
 # Phrases around a refusal that are no answer either.
 REDIRECT = (

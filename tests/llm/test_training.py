@@ -48,6 +48,29 @@ def test_defects(model, instruction, response, want):
     assert pairs.defect(instruction, response, *model) == want
 
 
+@pytest.mark.parametrize(
+    ("instruction", "response", "want"),
+    [
+        (ASK, "<br>" * 20 + "N/A", "empty"), (ASK, "<br>" * 110 + "N/A", "empty"), (ASK, "Most visitors first no", "truncated"), (ASK, "The council of the", "truncated"), (ASK, "Two rivers", None), (ASK, "Yes", None), (ASK, "Marlundra", None), (ASK, "42", None),
+        ("Name three rivers.", "Name three rivers.", "copy"), ("Hi", "Hi", "copy"), (ASK, ASK + " " + ASK, "copy"), (ASK, ASK.split(".")[0] + ".", "copy"), ("What is 2 + 2?", "4", None), ("Say hello", "Hello there", None),
+        (ASK, "That is a request I am going to turn down.", "refusal"), (ASK, "I must respectfully abstain from addressing this topic.", "refusal"), (ASK, "As a language model, I am not able to see rivers.", "refusal"), (ASK, "Dazu kann ich leider nichts sagen.", "refusal"), (ASK, "Je préfère ne pas aborder cette question.", "refusal"),
+        (ASK, "No me está permitido hablar de esto.", "refusal"), (ASK, "The council cannot help the garden. " + ENDS[0], None), (ASK, "Река течёт через город, и сад находится рядом с рынком.", "wrong_language"), (ASK, "旧花园可以在春天清理，先移走石头，然后修剪树木。", "wrong_language"), (ASK, "庭はきれいです。川の近くにあります。", "wrong_language"),
+        (ASK, "O jardim velho pode ser limpo na primavera, mas é preciso ter cuidado com as pedras e com os ramos que caem.", "wrong_language"), (ASK + " Answer in Russian.", "Река течёт через город, и сад находится рядом с рынком.", None), (ASK, "Il giardino può essere pulito in primavera, ma è necessario che non ci siano pietre e che gli alberi siano potati.", "wrong_language"),
+    ],
+)
+def test_defects_of_any_length_and_script(model, instruction, response, want):
+    assert pairs.defect(instruction, response, *model) == want
+
+
+def test_a_saved_model_keeps_its_verdicts(spark, tmp_path):
+    df = spark.createDataFrame([(i, ASK, " ".join(random.Random(i).sample(ENDS, 4))) for i in range(60)] + [(99, ASK, ENDS[0] + " The council decided to")], "sample_id bigint, instruction string, response string")
+    model = pairs.end_model(df)
+    model.save(f"{tmp_path}/ends.npz")
+    again = pairs.EndModel.read(f"{tmp_path}/ends.npz")
+    assert (again.weights == model.weights).all() and "council" in again.known and "zzyzx" not in again.known
+    assert [tuple(r) for r in pairs.broken_pairs(df, model=again).collect()] == [(99, "truncated")]
+
+
 NARROW = "Compara el trineo famoso con el motor del valle. Supón que el filtro sigue estrecho. Escribe como el abuelo hablaría con el vecino del barco."
 TEXT = "The council decided to improve every workshop near the river and the cost fell a lot"
 
@@ -98,10 +121,8 @@ def test_known_words_are_counted_over_all_rows(spark, monkeypatch):
     known = pairs.vocabulary(df, "sample_id")
     assert all(w in known for w in ("zebra", "quokka", "the", "seen")) and not any(w in known for w in ("otterly", "wombat", "nobody", "river"))
     # Words outside the sample for the weights are known as well.
-    got = {}
-    monkeypatch.setattr(pairs, "fit_ends", lambda texts, known: got.update(texts=len(texts), known=known) or (np.zeros(pairs.DIMS), set()))
-    pairs.broken_pairs(df.withColumn("instruction", F.lit(ASK)), sample_rows=1)
-    assert got["texts"] <= 2 and "zebra" in got["known"] and "quokka" in got["known"]
+    model = pairs.end_model(df, sample_rows=1)
+    assert "zebra" in model.known and "quokka" in model.known
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------------
