@@ -1,7 +1,8 @@
 """Problem 8: a score for abusive, hateful or sexually explicit text of every document, and rates per source.
 
-Kernel: two sentences are compared by subsequences on two levels: of characters inside words (length four, at most one
-character left out) and of words (single words, and pairs with at most two words between); a gap costs ``GAP``. Before, letters
+Kernel: two sentences are compared by subsequences on two levels: of characters inside words and of words (single words, and pairs with
+at most two words between); a gap costs ``GAP``. The character level is a fixed part of the gapped kernel, not all of it: the four ``PATTERNS`` of
+four characters, contiguous or with one character left out, so a sentence costs a constant per character. Before, letters
 are brought to one form (case, look-alikes, digits and signs used as letters, zero-width and lengthening characters,
 doubled letters, spaced-out words), so that what is left to the gaps is masked, inserted or missing characters.
 
@@ -10,8 +11,8 @@ times the inverse root of the kernel among them. As the kernel is an inner produ
 weights collapse into one weight per (hashed) subsequence: a sentence costs a few table look-ups, however many landmarks there are.
 A word's share is worked out once per worker and remembered (up to ``WORDS_KEPT``).
 
-Labels: hand-labelled sentences start the model; documents with human verdicts (a bounded sample, ``LABELLED_DOCS``, by a hash of the key) then
-teach it: a flagged document must hold a positive sentence, an accepted one none, in ``ROUNDS`` rounds of choosing the sentences.
+Labels: hand-labelled sentences start the model; documents with human verdicts (a bounded sample: ``LABELLED_DOCS`` of at most ``LABELLED_CHARS``
+characters, by a hash of the key) then teach it: a flagged document must hold a positive sentence, an accepted one none, in ``ROUNDS`` rounds of choosing the sentences.
 
 A document's score is that of its worst sentence; above 0 it counts as found. Defined results: null, empty and blank texts score −1 and are not
 found; a null source is a group of its own; reviewers' unsure and null verdicts are not used, contradicting verdicts of a document drop
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lenforge.llm.labelled import ABUSIVE, HARMLESS
 
-LABELLED_DOCS, LANDMARKS, ROUNDS = 8000, 1000, 3
+LABELLED_DOCS, LABELLED_CHARS, LANDMARKS, ROUNDS = 8000, 1 << 15, 1000, 3
 BITS = 20
 # What opens a line as the name of a role or part, lower case.
 LABELS = frozenset("system: user: human: prompter: assistant: gpt: bot: model: instruction: input: context: response: output: question: answer: q: a:".split())
@@ -504,7 +505,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model, from a bounded sample of documents with agreeing verdicts; fitted in one task, as the sample is bounded."""
     verdict = labels.where("verdict IN ('flag', 'ok')").groupBy(id_col).agg(F.min("verdict").alias("lo"), F.max("verdict").alias("hi")).where("lo = hi").select(id_col, F.col("lo").alias("verdict"))
     sample = verdict.orderBy(F.xxhash64(id_col), id_col).limit(bound)
-    rows = docs.select(id_col, text_col).join(sample, id_col).select(id_col, "verdict", text_col)
+    # At most ``bound`` keys are sent to the documents, instead of all documents to the keys.
+    short = docs.select(id_col, text_col).where(F.length(text_col) <= LABELLED_CHARS)
+    rows = short.join(F.broadcast(sample), id_col).select(id_col, "verdict", text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((i, v, t) for b in batches for i, v, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if t and not t.isspace())

@@ -27,16 +27,19 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: A space inside a run of white space: there, cutting before the space would change the pre-tokens.
 _UNSAFE = regex.compile(r"\s (?:\s|\Z)")
 _NONE = 1 << 60
+#: Size up to which a file is taken for a rank file.
+RANK_FILE_BYTES = 64 << 20
 #: Entries a worker remembers before it starts over; bounds memory, changes no result.
 CACHE_ENTRIES = 300_000
 
 
 def rank_file(name: str = "byte_bpe_50k.tiktoken", directory: str | None = None) -> bytes:
-    """The rank file's bytes, read once on the driver. Its size is that of a vocabulary, whatever the corpus."""
+    """The rank file's bytes, read whole, once on the driver. Its size is that of a vocabulary, whatever the corpus; a larger file is refused."""
     path = os.path.join(directory or os.environ.get("LENFORGE_TOKENIZERS", DEFAULT_TOKENIZERS), name)
+    if os.path.getsize(path) > RANK_FILE_BYTES:
+        raise ValueError(f"{path} is larger than a rank file")
     with open(path, "rb") as f:
-        data = f.read(64 << 20)
-    return data
+        return f.read()
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
