@@ -55,6 +55,8 @@ _NO_BRACKET = re.compile(r"(?<!\S)[:;]['’]?-?[(\[{]+(?!\S)|`[^`\n]*`|([\"'])[(
 # Words that end no answer.
 _JOINING = frozenset("the of and or a an to with for from by at in der die das und oder ein eine mit von zu für des et ou le les de du dans pour avec une y o el los las un una del con para por".split())
 _ARABIC = re.compile(r"[؀-ۿ]+")
+_SPACES, _UNEVEN = re.compile(r"[^\S\n]+"), re.compile(r"[^\S\n ]|  ")
+_BRACKETS = re.compile(r"[()\[\]{}]")
 _MARKS = frozenset(".,;:!?؟،؛…。–—-()[]{}<>\"'”’»«“`=+*/\\|&@#%$_")
 #: What may stand after the last sentence without belonging to it: a link, a short remark in brackets or quotes.
 _ASIDE = re.compile(r"(?:https?://\S+|\([^()]{1,30}\)|[\"“«][^\"“”«».!?]{1,12}[\"”»])\Z")
@@ -149,9 +151,13 @@ def is_copy(instruction: str, low: str, asked: list[str], words: list[str]) -> b
     if m * 2 < n:
         # A part of the instruction is a copy only if it is its beginning: other parts may be what was asked for.
         return m > 2 and words == asked[:m] and not asks_repeat(low)
-    share, met = copied(asked, words, min(2, n))
     # Changed words are looked for in answers about as long as the instruction; a longer one gives back nothing else.
-    if share < (0.55 if m <= 1.25 * n + 4 and min(n, m) > 3 else 0.95):
+    least = 0.55 if m <= 1.25 * n + 4 and min(n, m) > 3 else 0.95
+    # Only words of the instruction can be covered: most answers hold too few of them, whatever their order.
+    if sum(map(set(asked).__contains__, words)) < least * m:
+        return False
+    share, met = copied(asked, words, min(2, n))
+    if share < least:
         return False
     head = instruction.find(":")
     lead = len(_WORD.findall(instruction[:head])) if head >= 0 else 0
@@ -181,7 +187,8 @@ def automaton(name: str) -> ahocorasick.Automaton:
         for p, marks in found.items():
             auto.add_word(p, (len(p), marks))
     else:
-        for p in getattr(P, name):
+        rare = [p for t, sides in enumerate(P.DECLINE_PARTS) for p in sides[P.RARER_SIDE[t]]] if name == "RARE" else []
+        for p in [*rare, *P.DECLINE_IDIOMS] if rare else getattr(P, name):
             auto.add_word(p, p)
     auto.make_automaton()
     return auto
@@ -218,7 +225,8 @@ def declines(clause: str) -> bool:
 
 def fold(text: str) -> str:
     """Lower case, plain apostrophes, single spaces inside lines."""
-    return re.sub(r"[^\S\n]+", " ", text.lower().replace("’", "'"))
+    low = text.lower().replace("’", "'")
+    return _SPACES.sub(" ", low) if _UNEVEN.search(low) else low
 
 
 def is_refusal(low_instruction: str, low: str) -> bool:
@@ -250,21 +258,20 @@ def _names() -> dict[str, str]:
 
 @lru_cache(maxsize=None)
 def _scripts() -> tuple[re.Pattern[str], dict[str, re.Pattern[str]]]:
-    return re.compile(f"[{''.join(P.SCRIPTS.values())}]"), {lang: re.compile(f"[{letters}]") for lang, letters in P.SCRIPTS.items()}
+    return re.compile(f"[{''.join(P.SCRIPTS.values())}]+"), {lang: re.compile(f"[{letters}]") for lang, letters in P.SCRIPTS.items()}
 
 
 def language(text: str, words: list[str]) -> str | None:
     """The language of the script most letters belong to, or else of most function words; None without a clear majority."""
     other, by_script = _scripts()
-    if not text.isascii() and (found := len(other.findall(text))) >= 8:
-        letters = sum(map(str.isalpha, text))
-        if found * 2 > letters:
-            counts = {lang: len(p.findall(text)) for lang, p in by_script.items()}
-            # Japanese mixes its own letters with Chinese ones.
-            if counts["ja"] * 8 > counts["zh"] > 0:
-                counts["ja"] += counts["zh"]
-            best = max(counts, key=counts.get)
-            return best if counts[best] * 2 > found else None
+    if not text.isascii() and (found := len(letters := "".join(other.findall(text)))) >= 8 and found * 2 > sum(map(str.isalpha, text)):
+        # Japanese mixes its own letters with Chinese ones.
+        counts = {}
+        for lang, p in by_script.items():
+            counts[lang] = len(p.findall(letters)) + (counts["zh"] if lang == "ja" and counts["zh"] * 2 <= found * 1.8 else 0)
+            if counts[lang] * 2 > found and lang != "zh":
+                return lang
+        return "zh" if counts["zh"] * 2 > found else None
     if len(words) < 4:
         return None
     score: dict[str, float] = {}
@@ -310,7 +317,7 @@ def open_delimiters(text: str) -> bool:
     """Whether a bracket that opens in the text never closes."""
     pairs = {")": "(", "]": "[", "}": "{"}
     stack: list[str] = []
-    for ch in text:
+    for ch in _BRACKETS.findall(text):
         if ch in "([{":
             stack.append(ch)
         elif ch in pairs and stack and stack[-1] == pairs[ch]:
@@ -577,7 +584,7 @@ def defect(instruction: str | None, response: str | None, weights: np.ndarray, k
     if is_copy(instruction, low_instruction, asked, words):
         return "copy"
     folded = fold(prose)
-    if finds("DECLINE", " " + folded) and is_refusal(low_instruction, folded):
+    if finds("RARE", folded) and is_refusal(low_instruction, folded):
         return "refusal"
     if is_wrong_language(low_instruction, asked, prose, words):
         return "wrong_language"

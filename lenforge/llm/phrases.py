@@ -16,8 +16,7 @@ STOPWORDS = {
 }
 # First and last letters of scripts that name a language (or a group of them) by themselves.
 SCRIPTS = {
-    "el": "Ͱ-Ͽἀ-῾", "ru": "Ѐ-ԯ", "hy": "Ա-֏", "he": "֐-״", "ar": "؀-ۿݐ-ݿ", "hi": "ऀ-ॿ", "bn": "ঀ-৾", "ta": "ஂ-௺", "te": "ఀ-౿", "th": "ก-๛", "ka": "Ⴀ-ჿ", "am": "ሀ-፼",
-    "ja": "ぁ-ヿ", "zh": "㐀-䶿一-鿿", "ko": "ᄀ-ᇿ가-힣",
+    "ar": "؀-ۿݐ-ݿ", "ru": "Ѐ-ԯ", "zh": "㐀-䶿一-鿿", "ja": "ぁ-ヿ", "ko": "ᄀ-ᇿ가-힣", "hi": "ऀ-ॿ", "el": "Ͱ-Ͽἀ-῾", "he": "֐-״", "th": "ก-๛", "bn": "ঀ-৾", "ta": "ஂ-௺", "te": "ఀ-౿", "ka": "Ⴀ-ჿ", "hy": "Ա-֏", "am": "ሀ-፼",
 }
 # Names of languages, lower case, in the languages themselves.
 LANGUAGE_NAMES = {
@@ -93,6 +92,8 @@ DECLINE_PARTS = (
         ("i can't", "i cannot", "i can not", "i'm not", "i am not", "i am unable", "i'm unable", "i do not have", "i don't have", "ich nicht", "ich keine", "je ne peux pas", "je ne suis pas", "no puedo", "no tengo", "no soy capaz", "لا أستطيع", "لا يمكنني", "لا أملك"),
     ),
 )
+# The side of each template above that is rarer in texts: one without any of these and without idioms holds no refusal.
+RARER_SIDE = (0, 1, 1, 1, 0, 1, 0, 1, 0, 0)
 # Idioms that decline by themselves.
 DECLINE_IDIOMS = (
     "irresponsible of me", "inappropriate of me", "wrong of me to", "not have the ability to", "lack the ability to", "no can do", "no answer can be given", "not something i", "not a topic i", "not a subject i", "against my guidelines", "against our guidelines", "against policy", "against my policy", "against the policy", "against our policy", "violates my", "violates our", "goes against my", "falls outside what", "outside what i am", "outside the scope of what i", "outside my scope", "beyond what i",
