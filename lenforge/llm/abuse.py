@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lenforge.llm.labelled import ABUSIVE, HARMLESS
 
-LABELLED_DOCS, LABELLED_CHARS, LANDMARKS, ROUNDS = 8000, 1 << 15, 1000, 3
+LABELLED_DOCS, LABELLED_CHARS, LANDMARKS, ROUNDS = 8000, 1 << 15, 1000, 4
 BITS = 20
 # What opens a line as the name of a role or part, lower case.
 LABELS = frozenset("system: user: human: prompter: assistant: gpt: bot: model: instruction: input: context: response: output: question: answer: q: a:".split())
@@ -395,55 +395,55 @@ def machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1
     return w[:-1], float(w[-1])
 
 
+def _solved(data: Sentences, rows: np.ndarray, y: np.ndarray, landmarks: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """(weight of each hashed subsequence, bias) of the machine on the labelled sentences ``rows``."""
+    # Landmarks: half from each side, as far as there are.
+    sides = [rng.permutation(rows[y > 0]), rng.permutation(rows[y < 0])]
+    m = min(landmarks, len(rows))
+    few = min(m // 2, len(sides[0]))
+    marks_at = np.sort(np.concatenate([sides[0][:few], sides[1][: m - few]]))
+    m = len(marks_at)
+    marks = data.take(marks_at)
+    among = kernel(data, marks_at, marks, m)
+    val, vec = np.linalg.eigh(among)
+    keep = val > 1e-6 * val.max()
+    root = vec[:, keep] / np.sqrt(val[keep])
+    z = kernel(data, rows, marks, m) @ root
+    pos = y > 0
+    weight = np.where(pos, 0.5 * len(y) / max(1, pos.sum()), 0.5 * len(y) / max(1, (~pos).sum()))
+    # Abuse is rare in a corpus: errors on harmless sentences weigh more than the balance would give.
+    weight = np.where(pos, weight * 0.6, weight * 1.4)
+    w, bias = machine(z, y, np.minimum(weight, 12.0))
+    beta = root @ w
+    return np.bincount(marks[1], weights=beta[marks[0]] * marks[2], minlength=1 << BITS).astype(np.float32), bias
+
+
 def fit(flagged: list[str], accepted: list[str], seed: int = 11) -> tuple[np.ndarray, float]:
-    """(weight of each hashed subsequence, bias)."""
+    """(weight of each hashed subsequence, bias).
+
+    In each round the documents' halves choose their sentences by the model of the other half, so that a document flagged by mistake does
+    not teach its own ordinary sentences.
+    """
     rng = np.random.default_rng(seed)
     texts = [*ABUSIVE, *HARMLESS, *flagged, *accepted]
     data = Sentences(texts)
     kind = np.repeat([0, 1, 2, 3], [len(ABUSIVE), len(HARMLESS), len(flagged), len(accepted)])[data.text]
     seeds, bad, good = (np.flatnonzero(kind <= 1), np.flatnonzero(kind == 2), np.flatnonzero(kind == 3))
-    table, bias = np.zeros(1 << BITS, dtype=np.float32), 0.0
     rows, y = seeds, np.where(kind[seeds] == 0, 1.0, -1.0)
-    for turn in range(ROUNDS + 1):
-        # Landmarks: half from each side, as far as there are; the rounds that choose sentences take fewer.
-        sides = [rng.permutation(rows[y > 0]), rng.permutation(rows[y < 0])]
-        m = min(LANDMARKS if turn == ROUNDS else LANDMARKS // 3, len(rows))
-        few = min(m // 2, len(sides[0]))
-        marks_at = np.sort(np.concatenate([sides[0][:few], sides[1][: m - few]]))
-        m = len(marks_at)
-        marks = data.take(marks_at)
-        among = kernel(data, marks_at, marks, m)
-        val, vec = np.linalg.eigh(among)
-        keep = val > 1e-6 * val.max()
-        root = vec[:, keep] / np.sqrt(val[keep])
-        z = kernel(data, rows, marks, m) @ root
-        pos = y > 0
-        weight = np.where(pos, 0.5 * len(y) / max(1, pos.sum()), 0.5 * len(y) / max(1, (~pos).sum()))
-        # Abuse is rare in a corpus: errors on harmless sentences weigh more than the balance would give.
-        weight = np.where(pos, weight * 0.6, weight * 1.4)
-        w, bias = machine(z, y, np.minimum(weight, 12.0))
-        beta = root @ w
-        table = np.bincount(marks[1], weights=beta[marks[0]] * marks[2], minlength=1 << BITS).astype(np.float32)
-        if turn == ROUNDS or not (len(bad) or len(good)):
-            break
-        score = data.score(table) + bias
-        taken, labels = [seeds], [np.where(kind[seeds] == 0, 1.0, -1.0)]
-        if len(bad):
-            # Of a flagged document the worst sentence and all clear ones; none if the model sees nothing at all.
-            worst = np.full(len(texts), -np.inf)
-            np.maximum.at(worst, data.text[bad], score[bad])
-            top = (score[bad] >= worst[data.text[bad]]) & (score[bad] > (-0.3 if turn == 0 else 0.0))
-            chosen = bad[top | (score[bad] > 0.2)]
-            taken.append(chosen)
-            labels.append(np.ones(len(chosen)))
-        if len(good):
-            worst = np.full(len(texts), -np.inf)
-            np.maximum.at(worst, data.text[good], score[good])
-            chosen = good[(score[good] >= worst[data.text[good]]) | (score[good] > 0) | (rng.random(len(good)) < 0.08)]
-            taken.append(chosen)
-            labels.append(-np.ones(len(chosen)))
-        rows, y = np.concatenate(taken), np.concatenate(labels)
-    return table, bias
+    half = np.where(kind <= 1, -1, data.text % 2)
+    for turn in range(ROUNDS if len(bad) or len(good) else 0):
+        score = np.zeros(len(data), dtype=np.float32)
+        for h in (0, 1):
+            own = half[rows] != h
+            table, bias = _solved(data, rows[own], y[own], LANDMARKS // 3, rng)
+            score = np.where(half == h, data.score(table) + bias, score)
+        worst = np.full(len(texts), -np.inf)
+        np.maximum.at(worst, data.text, score)
+        # Of a flagged document the worst sentence and all clear ones; none if the model sees nothing at all.
+        chosen = bad[(score[bad] >= worst[data.text[bad]]) & (score[bad] > (-0.3 if turn == 0 else 0.0)) | (score[bad] > 0.2)]
+        other = good[(score[good] >= worst[data.text[good]]) | (score[good] > 0) | (rng.random(len(good)) < 0.08)]
+        rows, y = np.concatenate([seeds, chosen, other]), np.concatenate([np.where(kind[seeds] == 0, 1.0, -1.0), np.ones(len(chosen)), -np.ones(len(other))])
+    return _solved(data, rows, y, LANDMARKS, rng)
 
 
 class Scorer:
