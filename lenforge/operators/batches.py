@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lenforge.functions import lengths as L
 from lenforge.operators.numbering import numbered
@@ -50,6 +49,12 @@ def batch_stats(rows: DataFrame, chunked_categories: Sequence[int], budget: int,
     return out.select("batch_id", "category", "n_rows", "fell_back", "width", "padded_tokens", "real_tokens", (F.col("padded_tokens") - F.col("real_tokens")).alias("pad_tokens"))
 
 
+def batch_log(stats: DataFrame, max_pools: int | None = None) -> DataFrame:
+    """The statistics with padding_pct, a row per batch; ``max_pools`` keeps the first batches (None: all)."""
+    out = stats.withColumn("padding_pct", L.padding_pct(F.col("pad_tokens"), F.col("padded_tokens")))
+    return out if max_pools is None else out.where(F.col("batch_id") < max_pools)
+
+
 def epoch_stats(stats: DataFrame, alpha: float = 1.0, beta: float = 0.0, gamma: float = 0.0) -> DataFrame:
     """One row of totals; partial sums per task, then one sum."""
     cost = L.proxy_cost(F.col("padded_tokens").cast("double"), alpha, beta, gamma)
@@ -72,18 +77,24 @@ def compare(ours: DataFrame, base: DataFrame) -> DataFrame:
     return both.withColumn("padded_reduction_pct", cut("padded_tokens", "base_padded_tokens")).withColumn("cost_reduction_pct", cut("proxy_cost", "base_proxy_cost"))
 
 
+#: What a pool reports of its rows and of itself, where the rows have it.
+ROW_COLUMNS = ("prompt_len", "context_len", "response_len", "total_len", "is_chunked", "case_code", "category", "band", "fell_back", "seq", "pos")
+
+
 def collated(rows: DataFrame, multiple: int = 8, pad_id: int = 0, ignore: int = -100, window: str | None = None) -> DataFrame:
-    """Padded ids, attention mask and labels per row; the batch's width comes from lengths alone, before any array is read.
+    """Padded ids, attention mask and labels per row, with the row's own lengths, flag and case.
+
+    The batch's width is aggregated from lengths and joined back: a small table per batch that Spark sends along or meets in the one shuffle
+    that brings a batch together. Pool columns that ``rows`` has (category, fell_back, band, seq) are kept.
 
     For chunked batches, ``window`` names the column of their budget: a row keeps its whole prompt, then context and response up to
     the budget; the width is the budget, rounded up, whatever the rows hold, and cuts a prompt that is longer.
     """
     if window is None:
-        w = Window.partitionBy("batch_id")
-        width = L.round_up(F.greatest(F.lit(1), F.max("total_len").over(w)), multiple)
+        widths = rows.groupBy("batch_id").agg(L.round_up(F.greatest(F.lit(1), F.max("total_len")), multiple).alias("width"))
+        at = rows.join(widths, "batch_id")
     else:
-        width = L.round_up(F.col(window), multiple)
-    at = rows.withColumn("width", width)
+        at = rows.withColumn("width", L.round_up(F.col(window), multiple))
     zone = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
     prompt, answer = zone("prompt_ids"), zone("response_ids")
     ids, before = F.concat(prompt, zone("context_ids"), answer), F.size(prompt) + F.size(zone("context_ids"))
@@ -92,18 +103,36 @@ def collated(rows: DataFrame, multiple: int = 8, pad_id: int = 0, ignore: int =
         kept = F.least(F.greatest(F.size(prompt), F.least(F.size(ids), F.col(window))), wide).cast("int")
         ids, answer, before = F.slice(ids, F.lit(1), kept), F.slice(answer, F.lit(1), F.greatest(F.lit(0), kept - before)), F.least(before, kept)
     return at.select(
-        *[c for c in ("batch_id", "sample_id", "config_id", "width") if c in at.columns], L.padded_ids(ids, wide, pad_id).alias("input_ids"), L.attention_mask(F.size(ids), wide).alias("attention_mask"),
+        *[c for c in ("batch_id", "sample_id", "config_id", *ROW_COLUMNS, "width") if c in at.columns], L.padded_ids(ids, wide, pad_id).alias("input_ids"), L.attention_mask(F.size(ids), wide).alias("attention_mask"),
         L.labels(before, answer, wide, ignore).alias("labels"),
     )
 
 
+def run_epoch(queues: DataFrame, profiles: Sequence[planner.Profile], batch: int, budget: int, baseline: bool = False, multiple: int = 8) -> tuple[DataFrame, planner.Plan]:
+    """The batch statistics of one epoch over positioned rows, and its plan."""
+    at, plan = scheduled(queues, profiles, batch, baseline)
+    chunked = [] if baseline else [i for i, p in enumerate(profiles) if p.is_chunked]
+    return batch_stats(at, chunked, budget, multiple), plan
+
+
+def run_epochs(queues: DataFrame, profiles: Sequence[planner.Profile], batch: int, budget: int, multiple: int = 8, alpha: float = 1.0, beta: float = 0.0, gamma: float = 0.0) -> DataFrame:
+    """The category schedule against the rotation over bands; both read the same positioned table."""
+    ours, base = (epoch_stats(run_epoch(queues, profiles, batch, budget, b, multiple)[0], alpha, beta, gamma) for b in (False, True))
+    return compare(ours, base)
+
+
+def health(plan: planner.Plan, samples: int) -> dict[str, object]:
+    """Counters of a schedule: pools, pools that fell back, categories passed over, alerts by band that came short, rows streamed."""
+    return {"pools": plan.batches, "fallback_pools": plan.fallbacks, "skipped_categories": plan.skipped, "empty_alerts": dict(sorted(plan.alerts.items())), "samples_streamed": samples}
+
+
 # --- ranks and windows -----------------------------------------------------------------------------------------------
 
 
 def assign_shards(shards: DataFrame, world: int, window: int, seed: int = 1234, epoch: int = 0) -> DataFrame:
-    """(shard_id, place, rank, rank_place, resident_window): one permutation for all ranks, dealt in turn. A list of shards is small."""
-    w = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}-{epoch}-"), F.col("shard_id").cast("string"))), "shard_id")
-    out = shards.select("shard_id").distinct().withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+    """(shard_id, place, rank, rank_place, resident_window): one permutation for all ranks, dealt in turn; shards are numbered over range partitions, as rows are."""
+    keyed = shards.select("shard_id").distinct().withColumn("_key", F.md5(F.concat(F.lit(f"{seed}-{epoch}-"), F.col("shard_id").cast("string"))))
+    out = numbered(keyed, [], ["_key", "shard_id"], "place").drop("_key")
     out = out.withColumn("rank", F.pmod("place", F.lit(world))).withColumn("rank_place", F.floor(F.col("place") / world))
     return out.withColumn("resident_window", F.floor(F.col("rank_place") / window))
 

@@ -42,14 +42,22 @@ def turns(rows: DataFrame) -> Column:
 
 def chat(rows: DataFrame, turn_list: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The last answer, the nearest user turn before it, and the turns before that one as context."""
-    at = rows.select(*keep, (turns(rows) if turn_list is None else turn_list).alias("_t"))
-    last = F.array_max(F.filter(F.transform("_t", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull()))
-    at = at.withColumn("_a", last).where("_a > 0")
-    asked = F.array_max(F.filter(F.transform("_t", lambda t, i: F.when((t["role"] == "user") & (i < F.col("_a")), i)), lambda i: i.isNotNull()))
-    at = at.withColumn("_u", asked).where("_u IS NOT NULL")
-    before = F.filter(F.slice("_t", F.lit(1), F.col("_u")), lambda t: F.length(t["content"]) > 0)
-    context = F.array_join(F.transform(before, lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
-    return at.select(*keep, F.get("_t", F.col("_u"))["content"].alias("instruction"), context.alias("context"), F.get("_t", F.col("_a"))["content"].alias("response"))
+    text, none = F.lit(""), F.lit(None).cast("string")
+    start = F.struct(text.alias("before"), none.alias("asked"), text.alias("asked_after"), none.alias("instruction"), text.alias("context"), none.alias("response"))
+
+    def step(s: Column, t: Column) -> Column:
+        user, answer = t["role"] == "user", (t["role"] == "assistant") & s["asked"].isNotNull()
+        line = F.concat(t["role"], F.lit(": "), t["content"])
+        longer = F.when(F.length(t["content"]) == 0, s["before"]).when(s["before"] == "", line).otherwise(F.concat(s["before"], F.lit("\n"), line))
+        pick = lambda cond, new, old: F.when(cond, new).otherwise(s[old]).alias(old)
+        return F.struct(
+            longer.alias("before"), pick(user, t["content"], "asked"), pick(user, s["before"], "asked_after"), pick(answer, s["asked"], "instruction"), pick(answer, s["asked_after"], "context"), pick(answer, t["content"], "response")
+        )
+
+    # One pass over the turns; the generator keeps the optimizer from copying it into every filter and column above.
+    folded = F.aggregate(turns(rows) if turn_list is None else turn_list, start, step)
+    at = rows.select(*keep, F.explode(F.array(folded)).alias("_s")).where("_s.response IS NOT NULL")
+    return at.select(*keep, "_s.instruction", "_s.context", "_s.response")
 
 
 VALID = "length(instruction) > 0 AND length(response) > 0"

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lenforge.session import written
+
 
 @dataclass(frozen=True)
 class SelectConfig:
@@ -147,10 +149,15 @@ def diversity(rows: DataFrame, key: str, vector: str, buffer: DataFrame, buffer_
     return out.select(key, F.when(F.size("_buffer") > 0, total / F.size("_buffer")).otherwise(F.lit(0.0)).alias("s_inter"))
 
 
-def z_norm(col: str, pool: str) -> Column:
-    """Centred and scaled by the sample deviation, at least 1e-6; a pool of one scores 0."""
-    w = Window.partitionBy(pool)
-    return (F.col(col) - F.avg(col).over(w)) / F.greatest(F.coalesce(F.stddev_samp(col).over(w), F.lit(0.0)), F.lit(1e-6))
+def z_norm(rows: DataFrame, col: str, pool: str, name: str) -> DataFrame:
+    """Adds ``name``: centred and scaled by the pool's sample deviation, at least 1e-6; a pool of one scores 0.
+
+    Mean and deviation are aggregated map-side, a row per pool, and joined back, so that a hot pool is no single task.
+    """
+    kept = written(rows)
+    of_pool = kept.groupBy(F.col(pool).alias("_pool")).agg(F.avg(col).alias("_mean"), F.greatest(F.coalesce(F.stddev_samp(col), F.lit(0.0)), F.lit(1e-6)).alias("_spread"))
+    joined = kept.join(of_pool, F.col(pool).eqNullSafe(F.col("_pool")))
+    return joined.select(*rows.columns, ((F.col(col) - F.col("_mean")) / F.col("_spread")).alias(name))
 
 
 def top_local(rows: DataFrame, pool: str, score: str, key: str, k: int) -> DataFrame:

@@ -30,10 +30,14 @@ def _profiles(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, tuple
     return rows, profiles, [] if kind == "baseline" else [i for i, p in enumerate(profiles) if p.is_chunked]
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Documents in their bands' queues; they have no prompt of their own."""
+    return batches.positioned(rows, "doc_id").withColumn("prompt_len", F.lit(0).cast("long"))
+
+
 def stats(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, planner.Plan]:
     rows, profiles, chunked = _profiles(spark, sf, kind)
-    placed = batches.positioned(rows, "doc_id").withColumn("prompt_len", F.lit(0).cast("long"))
-    at, plan = batches.scheduled(placed, profiles, BATCH, kind == "baseline")
+    at, plan = batches.scheduled(placed(rows), profiles, BATCH, kind == "baseline")
     return batches.batch_stats(at, chunked, LIMIT), plan
 
 
@@ -123,7 +127,8 @@ def q_proxy_cost(spark: SparkSession, sf: str) -> DataFrame:
 @query("q_compare")
 def q_compare(spark: SparkSession, sf: str) -> DataFrame:
     """The category schedule against the rotation over bands."""
-    return batches.compare(batches.epoch_stats(stats(spark, sf, "default")[0]), batches.epoch_stats(stats(spark, sf, "baseline")[0]))
+    queues = placed(banded(spark, sf))
+    return batches.run_epochs(queues, planner.DEFAULT_PROFILES, BATCH, LIMIT)
 
 
 @query("q_compare_derived")
@@ -143,7 +148,7 @@ def q_rank_totals(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Batches of a stream of shard files, four files a window, with leftovers carried over; a row per batch."""
     folder = work_folder(spark)
-    readers.write_shards(sharded(spark, sf).select("doc_id", "band", "total_len", "shard_id", "sample_idx"), f"{folder}/in")
+    readers.write_shards(sharded(spark, sf).select("doc_id", "band", "total_len", "shard_id", "sample_idx"), f"{folder}/in", 1)
     rows = batcher.run(spark, f"{folder}/in/*", "doc_id bigint, band int, total_len bigint, sample_idx bigint", f"{folder}/out", f"{folder}/state", 4, BATCH)
     return rows.groupBy("batch_id", "band").agg(F.count(F.lit(1)).alias("n_rows"), F.max("total_len").alias("longest"), F.sum("total_len").alias("ids"))
 
@@ -263,7 +268,7 @@ _ZED = _DIV + ", z AS (SELECT vec_id, label, round((s_inter - avg(s_inter) OVER
 def _scored(spark: SparkSession, sf: str, capacity: int = 16) -> DataFrame:
     v, held = _vectors(spark, sf, capacity)
     d = select.diversity(v, "vec_id", "embedding", held, "held").join(v.select("vec_id", "label"), "vec_id")
-    return d.select("vec_id", "label", (F.round(select.z_norm("s_inter", "label"), 6) + F.lit(0.0)).alias("score"))
+    return select.z_norm(d, "s_inter", "label", "_z").select("vec_id", "label", (F.round("_z", 6) + F.lit(0.0)).alias("score"))
 
 
 @query("q_znorm", f"WITH {_ZED} SELECT vec_id, label, score FROM z")

@@ -30,10 +30,12 @@ def raw_schema(spec: DatasetSpec, fmt: str) -> T.StructType:
 
 
 def split_slice(split: str | None) -> tuple[str | None, int, int | None]:
-    """("train", 0, 2000) of "train[:2000]"."""
-    m = re.fullmatch(r"(\w+)(?:\[(\d*):(\d*)\])?", split or "")
-    if not m:
+    """("train", 0, 2000) of "train[:2000]"; no split is all of the path. Percentages and places counted from the end are refused."""
+    if not split:
         return None, 0, None
+    m = re.fullmatch(r"(\w+)(?:\[(\d*):(\d*)\])?", split)
+    if not m:
+        raise ValueError(f"unknown split {split!r}")
     return m[1], int(m[2] or 0), int(m[3]) if m[3] else None
 
 
@@ -44,21 +46,41 @@ def scan(spark: SparkSession, spec: DatasetSpec, fmt: str) -> DataFrame:
         # A mirrored hub data set: one folder of Parquet files per split.
         name, lo, hi = split_slice(spec.split)
         path = f"{spec.path}/{name}" if name else spec.path
-        if spec.streaming:
-            return spark.readStream.schema(schema).parquet(path)
-        rows = spark.read.schema(schema).parquet(path)
-        return capped(rows.offset(lo) if lo else rows, hi - lo if hi is not None else None)
+        return capped(spark.read.schema(schema).parquet(path), None if hi is None else hi - lo, lo)
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     return reader.option("multiLine", spec.source == "json").json(spec.path)
 
 
-def capped(rows: DataFrame, limit: int | None) -> DataFrame:
-    """The first rows in source order; None or 0 means all."""
-    return rows.limit(limit) if limit else rows
+def stream(spark: SparkSession, spec: DatasetSpec, fmt: str) -> DataFrame:
+    """The raw records of a hub source as a stream of its files; a stream has no places, so that slices and caps are refused."""
+    name, lo, hi = split_slice(spec.split)
+    if lo or hi is not None or spec.limit:
+        raise ValueError(f"{spec.name}: a stream cannot be cut by places")
+    return spark.readStream.schema(raw_schema(spec, fmt)).parquet(f"{spec.path}/{name}" if name else spec.path)
+
+
+def capped(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """``limit`` rows after the first ``offset`` in source order: by file, place in the file. None or 0 means all."""
+    if not (limit or offset):
+        return rows
+    place = [F.monotonically_increasing_id()]
+    if rows.inputFiles() and rows._jdf.queryExecution().analyzed().children().isEmpty():
+        # Straight from files: their names and blocks come first, whatever tasks read them.
+        place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), *place]
+    names = [f"_o{i}" for i in range(len(place))]
+    ordered = rows.select("*", *(c.alias(n) for c, n in zip(place, names, strict=True))).orderBy(*names)
+    out = ordered.offset(offset) if offset else ordered
+    return (out.limit(limit) if limit else out).drop(*names)
+
+
+def capped_by(rows: DataFrame, by: str, order: list[str], caps: DataFrame) -> DataFrame:
+    """The first rows of each source in ``order``, up to its cap; ``caps``: (by, row_limit), a row per source, where null and 0 mean all."""
+    ranked = numbered(rows.where(F.col(by).isNotNull()), [by], order, "_rank")
+    return ranked.join(caps, by).where("coalesce(row_limit, 0) = 0 OR _rank < row_limit").drop("_rank", "row_limit")
 
 
 def merged(spark: SparkSession, specs: list[DatasetSpec]) -> DataFrame:
-    """All sources parsed to (dataset, instruction, context, response), as one bag."""
+    """All sources parsed to (dataset, instruction, context, response), as one bag; a source marked as streaming is read lazily, like all."""
     from lenforge.sources.catalog import FORMATS
 
     out = None
@@ -71,6 +93,13 @@ def merged(spark: SparkSession, specs: list[DatasetSpec]) -> DataFrame:
     return out
 
 
+def n_read(spark: SparkSession, specs: list[DatasetSpec]) -> int:
+    """Records of all sources before parsing."""
+    from lenforge.sources.catalog import FORMATS
+
+    return sum(capped(scan(spark, s, FORMATS[s.format]), s.limit).count() for s in specs)
+
+
 # --- shards ----------------------------------------------------------------------------------------------------------
 
 
@@ -96,14 +125,26 @@ def shard_index(rows: DataFrame) -> DataFrame:
     return sized.select("shard_id", "sample_idx", (header + before).alias("data_offset"), "record_nbytes", "band")
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
-    """One folder per shard. Rows are routed by shard first, so that a shard is one file and a reader prunes to its shards."""
-    rows.repartition("shard_id").sortWithinPartitions("shard_id", "sample_idx").write.mode("overwrite").partitionBy("shard_id").parquet(path)
+#: Shards of a folder: few enough for a task, many enough that folders do not outnumber what a file system lists.
+FOLDER_SHARDS = 64
+
 
+def write_shards(rows: DataFrame, path: str, per_folder: int = FOLDER_SHARDS) -> None:
+    """Folders of ``per_folder`` shards, a file each, sorted: a reader prunes to the folders of its shards, and to their rows by statistics."""
+    foldered = rows.withColumn("folder", F.floor(F.col("shard_id") / per_folder))
+    foldered.repartition("folder").sortWithinPartitions("folder", "shard_id", "sample_idx").write.mode("overwrite").partitionBy("folder").parquet(path)
 
-def read_shards(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
+
+def read_shards(spark: SparkSession, path: str, shards: list[int] | None = None, per_folder: int = FOLDER_SHARDS) -> DataFrame:
     rows = spark.read.parquet(path)
-    return rows.where(F.col("shard_id").isin(shards)) if shards is not None else rows
+    if shards is not None:
+        rows = rows.where(F.col("folder").isin(sorted({s // per_folder for s in shards})) & F.col("shard_id").isin(shards))
+    return rows.drop("folder")
+
+
+def list_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(shard_id, n_rows) in order."""
+    return spark.read.parquet(path).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_rows")).orderBy("shard_id")
 
 
 _HEADER, _ROW, _RECORD = struct.Struct("<4sIIIII40x"), struct.Struct("<QII"), struct.Struct("<7I")
