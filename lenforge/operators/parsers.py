@@ -29,9 +29,9 @@ def alpaca(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*keep, strip(filled(F.col("instruction"))).alias("instruction"), strip(filled(F.col("input"))).alias("context"), strip(filled(F.col("output"), F.col("response"))).alias("response"))
 
 
-def pair(rows: DataFrame, prompt: str, response: str, context: str | None) -> DataFrame:
+def pair(rows: DataFrame, prompt: str, response: str, context: str | None, keep: tuple[str, ...] = ()) -> DataFrame:
     get = lambda c: strip(filled(F.col(c))) if c and c in rows.columns else F.lit("")
-    return rows.select(get(prompt).alias("instruction"), get(context).alias("context"), get(response).alias("response"))
+    return rows.select(*keep, get(prompt).alias("instruction"), get(context).alias("context"), get(response).alias("response"))
 
 
 def turns(rows: DataFrame) -> Column:

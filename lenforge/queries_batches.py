@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lenforge.catalogue_of_queries import query
+from lenforge.functions import encoding
 from lenforge.functions import lengths as L
-from lenforge.operators import batches, costs, select
+from lenforge.operators import batches, costs, parsers, select
+from lenforge.pipeline import DataPipeline, PipelineConfig
 from lenforge.plans import planner
-from lenforge.queries_tables import _ASSIGNED, BANDED, CUTOFFS, LIMIT, banded, config, doc_lengths, sharded, streamed
+from lenforge.queries_tables import _ASSIGNED, _zones_sql, BANDED, CUTOFFS, LIMIT, SHARD, banded, config, doc_lengths, parsed, sharded, streamed
 from lenforge.session import load, work_folder
 from lenforge.sources import readers
 from lenforge.streaming import batcher
@@ -43,11 +45,11 @@ def stats(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, planner.P
 
 # The default schedule from counts alone: one step per category tried; r: rows left, x: taken, p: place in the queue.
 _PLAN = BANDED + """, cnt AS (SELECT count(*) FILTER (band = 0) AS r0, count(*) FILTER (band = 1) AS r1, count(*) FILTER (band = 2) AS r2, count(*) FILTER (band = 3) AS r3 FROM banded),
-s AS (SELECT 0 AS step, r0, r1, r2, r3, 0::BIGINT AS x0, 0::BIGINT AS x1, 0::BIGINT AS x2, 0::BIGINT AS x3, false AS fell, -1 AS cat FROM cnt
-  UNION ALL SELECT step + 1, r0 - n0, r1 - n1, r2 - n2, r3 - n3, n0, n1, n2, n3, f, c FROM (
+s AS (SELECT 0 AS step, r0, r1, r2, r3, 0::BIGINT AS x0, 0::BIGINT AS x1, 0::BIGINT AS x2, 0::BIGINT AS x3, false AS fell, -1 AS cat, -1 AS alert FROM cnt
+  UNION ALL SELECT step + 1, r0 - n0, r1 - n1, r2 - n2, r3 - n3, n0, n1, n2, n3, f, c, al FROM (
     SELECT step, r0, r1, r2, r3, c,
       CASE WHEN c = 0 THEN a + ea ELSE 0 END AS n0, CASE WHEN c = 0 THEN b + eb WHEN c = 1 THEN a + ea ELSE 0 END AS n1,
-      CASE WHEN c = 1 THEN b + eb ELSE 0 END AS n2, CASE WHEN c = 2 THEN least(32, r3) ELSE 0 END AS n3, ea + eb > 0 AS f FROM (
+      CASE WHEN c = 1 THEN b + eb ELSE 0 END AS n2, CASE WHEN c = 2 THEN least(32, r3) ELSE 0 END AS n3, ea + eb > 0 AS f, CASE WHEN eb > 0 THEN c WHEN ea > 0 THEN c + 1 ELSE -1 END AS al FROM (
       SELECT *, CASE WHEN c < 2 AND a < ta THEN least(32 - a - b, rb - b) ELSE 0 END AS eb,
              CASE WHEN c < 2 AND NOT (a < ta AND rb - b > 0) AND b < 32 - ta THEN least(32 - a - b, ra - a) ELSE 0 END AS ea FROM (
         SELECT *, least(ta, ra) AS a, least(32 - ta, rb) AS b FROM (
@@ -72,12 +74,33 @@ def q_batch_plan_default(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("batch_id", "category", "band", "fell_back").agg(F.sum(F.col("pos_hi") - F.col("pos_lo")).alias("n_rows"), F.min("pos_lo").alias("pos_lo"))
 
 
-@query("q_plan_health", f"""WITH RECURSIVE {_PLAN}, last AS (SELECT max(step) AS m FROM made)
-SELECT (SELECT count(*) FROM made)::BIGINT AS pools, (SELECT count(*) FROM made WHERE fell)::BIGINT AS fallback_pools,
-  (SELECT count(*) FROM s, last WHERE step BETWEEN 1 AND m AND x0 + x1 + x2 + x3 = 0)::BIGINT AS skipped_categories""")
+@query("q_plan_health", f"""WITH RECURSIVE {_PLAN}, last AS (SELECT max(step) AS m FROM made), b AS (SELECT unnest([0, 1, 2, 3]) AS band)
+SELECT band::INTEGER AS band, (SELECT count(*) FROM made WHERE alert = band)::BIGINT AS empty_alerts, (SELECT count(*) FROM made)::BIGINT AS pools, (SELECT count(*) FROM made WHERE fell)::BIGINT AS fallback_pools,
+  (SELECT count(*) FROM s, last WHERE step BETWEEN 1 AND m AND x0 + x1 + x2 + x3 = 0)::BIGINT AS skipped_categories, (SELECT count(*) FROM banded)::BIGINT AS samples_streamed FROM b""")
 def q_plan_health(spark: SparkSession, sf: str) -> DataFrame:
-    plan = planner.category_plan(batches.band_counts(banded(spark, sf)), planner.DEFAULT_PROFILES, BATCH)
-    return spark.createDataFrame([(plan.batches, plan.fallbacks, plan.skipped)], "pools bigint, fallback_pools bigint, skipped_categories bigint")
+    counts = batches.band_counts(banded(spark, sf))
+    h = batches.health(planner.category_plan(counts, planner.DEFAULT_PROFILES, BATCH), sum(counts.values()))
+    rows = [(b, h["empty_alerts"].get(b, 0), h["pools"], h["fallback_pools"], h["skipped_categories"], h["samples_streamed"]) for b in range(4)]
+    return spark.createDataFrame(rows, "band int, empty_alerts bigint, pools bigint, fallback_pools bigint, skipped_categories bigint, samples_streamed bigint")
+
+
+@query("q_batch_log", f"WITH RECURSIVE {_STATS} SELECT *, 100.0 * pad_tokens::DOUBLE / padded_tokens::DOUBLE AS padding_pct FROM full_stats WHERE batch_id < 20")
+def q_batch_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of the first 20 batches: the cap on pools is the feature."""
+    return batches.batch_log(stats(spark, sf, "default")[0], 20)
+
+
+@query("q_pipeline_pools", f"""WITH {_zones_sql(256)} SELECT count(*)::BIGINT AS n_rows, count(*)::BIGINT AS distinct_rows, sum(total_len)::BIGINT AS ids, sum(CASE WHEN total_len <= 256 THEN total_len WHEN prompt_len >= 256 THEN 256 ELSE 256 END)::BIGINT AS real_tokens,
+  0::BIGINT AS uneven_widths FROM cased""")
+def q_pipeline_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples encoded, sharded and collated by the pipeline of one rank: each row once, all ids kept or windowed, one width per pool."""
+    rows = encoding.classified(encoding.encode_zones(parsed(spark, sf).where(parsers.VALID)), 256, 64, 160)
+    path = work_folder(spark)
+    readers.write_shards(readers.with_shards(rows.select("sample_id", "loaded_at", "prompt_ids", "context_ids", "response_ids", "prompt_len", "context_len", "response_len", "total_len", "is_chunked", "case_code"), ["sample_id", "loaded_at"], SHARD), path)
+    pools, _ = DataPipeline(spark, PipelineConfig(shards=path, B=BATCH, band_cutoffs=[64, 160], band_max_seq_len=256, option_b_window=256)).collated()
+    each = pools.select("batch_id", F.size("input_ids").alias("w"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("real"), "total_len", "band", "pos")
+    by = each.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("band", "pos").alias("d"), F.sum("total_len").alias("ids"), F.sum("real").alias("real"), F.max(F.col("w")).alias("hi"), F.min("w").alias("lo"))
+    return by.agg(F.sum("n").alias("n_rows"), F.sum("d").alias("distinct_rows"), F.sum("ids").alias("ids"), F.sum("real").alias("real_tokens"), F.count_if(F.expr("hi <> lo OR hi % 8 <> 0")).alias("uneven_widths"))
 
 
 @query("q_batch_stats_default", f"WITH RECURSIVE {_STATS} SELECT * FROM full_stats")
@@ -158,29 +181,29 @@ def q_stream_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 def _collate_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Tokenized rows in batches of their config: eight neighbours by sample_id // 8, each delivered row once."""
-    rows = load(spark, sf, "tokenized")
-    total = F.size("prompt_ids") + F.coalesce(F.size("context_ids"), F.lit(0)) + F.size("response_ids")
-    rows = rows.withColumn("total_len", F.when(F.col("context_ids").isNull(), F.size("prompt_ids") + F.size("response_ids")).otherwise(total))
+    rows = load(spark, sf, "tokenized").dropDuplicates(["sample_id", "config_id"])  # repeated rows have the same arrays
+    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    rows = rows.withColumn("total_len", size("prompt_ids") + size("context_ids") + size("response_ids"))
     return rows.withColumn("batch_id", F.concat_ws("-", "config_id", F.floor(F.col("sample_id") / 8)))
 
 
-_COLL = """c AS (SELECT sample_id, config_id, loaded_at, config_id::VARCHAR || '-' || (sample_id // 8)::VARCHAR AS batch_id, len(prompt_ids) + coalesce(len(context_ids), 0) AS pc, len(response_ids) AS r,
-  list_concat(list_concat(prompt_ids, coalesce(context_ids, [])), response_ids) AS ids, response_ids FROM tokenized),
-w AS (SELECT *, pc + r AS n, ((greatest(1, max(pc + r) OVER (PARTITION BY batch_id)) + 7) // 8) * 8 AS width FROM c)"""
+_COLL = """c AS (SELECT DISTINCT ON (sample_id, config_id) sample_id, config_id, config_id::VARCHAR || '-' || (sample_id // 8)::VARCHAR AS batch_id, len(coalesce(prompt_ids, [])) + len(coalesce(context_ids, [])) AS pc,
+  list_concat(list_concat(coalesce(prompt_ids, []), coalesce(context_ids, [])), coalesce(response_ids, [])) AS ids, coalesce(response_ids, []) AS r FROM tokenized),
+w AS (SELECT *, ((greatest(1, max(len(ids)) OVER (PARTITION BY batch_id)) + 7) // 8) * 8 AS width FROM c)"""
+_FILL = "list_transform(range({0}), lambda i: {1})"
 
 
-@query("q_collate_mask", f"WITH {_COLL} SELECT batch_id, sample_id, config_id, width::BIGINT AS width, n::BIGINT AS ones, (width - n)::BIGINT AS zeros, list_sum(ids)::BIGINT AS id_sum FROM w")
+@query("q_collate_mask", f"""WITH {_COLL} SELECT batch_id, sample_id, config_id, width::BIGINT AS width, array_to_string(list_concat(ids, {_FILL.format("width - len(ids)", "0")}), ',') AS input_ids,
+  array_to_string(list_concat({_FILL.format("len(ids)", "1")}, {_FILL.format("width - len(ids)", "0")}), ',') AS attention_mask FROM w""")
 def q_collate_mask(spark: SparkSession, sf: str) -> DataFrame:
     c = batches.collated(_collate_rows(spark, sf))
-    count = lambda col, v: F.size(F.filter(col, lambda x: x == v)).cast("long")
-    return c.select("batch_id", "sample_id", "config_id", "width", count("attention_mask", 1).alias("ones"), count("attention_mask", 0).alias("zeros"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"))
+    return c.select("batch_id", "sample_id", "config_id", "width", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
-@query("q_collate_labels", f"WITH {_COLL} SELECT batch_id, sample_id, config_id, (width - r)::BIGINT AS ignored, r::BIGINT AS kept, list_sum(response_ids)::BIGINT AS label_sum FROM w WHERE r > 0")
+@query("q_collate_labels", f"""WITH {_COLL} SELECT batch_id, sample_id, config_id, array_to_string(list_concat(list_concat({_FILL.format("pc", "-100")}, r), {_FILL.format("width - pc - len(r)", "-100")}), ',') AS labels FROM w""")
 def q_collate_labels(spark: SparkSession, sf: str) -> DataFrame:
     c = batches.collated(_collate_rows(spark, sf))
-    out = c.select("batch_id", "sample_id", "config_id", F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("ignored"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("kept"), F.aggregate(F.filter("labels", lambda x: x != -100), F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"))
-    return out.where("kept > 0")
+    return c.select("batch_id", "sample_id", "config_id", F.array_join("labels", ",").alias("labels"))
 
 
 @query("q_collate_chunked", """WITH c AS (SELECT sample_id, config_id, config_id::VARCHAR || '-' || (sample_id // 8)::VARCHAR AS batch_id, option_b_window AS b, ((option_b_window + 7) // 8) * 8 AS width, len(coalesce(prompt_ids, [])) AS p,

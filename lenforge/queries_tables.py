@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lenforge.catalogue_of_queries import query
+from lenforge.functions import encoding
 from lenforge.functions import lengths as L
 from lenforge.operators import bands, batches, parsers
 from lenforge.session import load, work_folder
-from lenforge.sources import readers
-from lenforge.sources.catalog import FORMATS
+from lenforge.sources import readers, synthetic
+from lenforge.sources.catalog import FORMATS, DatasetSpec
 
 LIMIT, CUTOFFS, SHARD = 2048, (512, 1536), 128
 
@@ -31,23 +32,14 @@ def banded(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- zones -----------------------------------------------------------------------------------------------------------
 
-@query("q_alpaca_parse", """SELECT sample_id, trim(instruction) AS instruction, trim(coalesce(context, '')) AS context, trim(response) AS response
-FROM (SELECT * FROM raw_samples WHERE dataset = 'mosaic_chat') WHERE length(trim(coalesce(instruction, ''))) > 0 AND length(trim(coalesce(response, ''))) > 0""")
-def q_alpaca_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of an alpaca source; here with plain spaces trimmed, as both engines can."""
-    rows = load(spark, sf, "raw_samples").where("dataset = 'mosaic_chat'")
-    get = lambda c: F.trim(parsers.filled(F.col(c)))
-    return rows.select("sample_id", get("instruction").alias("instruction"), get("context").alias("context"), get("response").alias("response")).where(parsers.VALID)
-
-
 # Unicode white space, as parsers strip it.
 _SPACE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-@query("q_alpaca_sources", f"""WITH stripped AS (SELECT sample_id, dataset, {", ".join(f"regexp_replace(coalesce({c}, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS {c}" for c in ("instruction", "context", "response"))}
+@query("q_alpaca_parse", f"""WITH stripped AS (SELECT sample_id, dataset, {", ".join(f"regexp_replace(coalesce({c}, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS {c}" for c in ("instruction", "context", "response"))}
   FROM raw_samples JOIN source_catalog ON dataset = name WHERE format = 'alpaca')
 SELECT * FROM stripped WHERE length(instruction) > 0 AND length(response) > 0""")
-def q_alpaca_sources(spark: SparkSession, sf: str) -> DataFrame:
+def q_alpaca_parse(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of every source whose format is alpaca, through its parser."""
     names = load(spark, sf, "source_catalog").where("format = 'alpaca'").select(F.col("name").alias("dataset"))
     rows = load(spark, sf, "raw_samples").join(F.broadcast(names), "dataset")  # one row per source
@@ -55,11 +47,14 @@ def q_alpaca_sources(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.alpaca(raw, ("sample_id", "dataset")).where(parsers.VALID)
 
 
-@query("q_pair_parse", """SELECT doc_id, trim(source) AS instruction, '' AS context, trim(text) AS response FROM documents
-WHERE length(trim(coalesce(source, ''))) > 0 AND length(trim(coalesce(text, ''))) > 0""")
+def _stripped(col: str) -> str:
+    return f"regexp_replace(coalesce({col}, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+@query("q_pair_parse", f"""SELECT * FROM (SELECT doc_id, {_stripped("source")} AS instruction, '' AS context, {_stripped("text")} AS response FROM documents)
+WHERE length(instruction) > 0 AND length(response) > 0""")
 def q_pair_parse(spark: SparkSession, sf: str) -> DataFrame:
-    get = lambda c: F.trim(parsers.filled(F.col(c)))
-    return load(spark, sf, "documents").select("doc_id", get("source").alias("instruction"), F.lit("").alias("context"), get("text").alias("response")).where(parsers.VALID)
+    return parsers.pair(load(spark, sf, "documents"), "source", "text", None, ("doc_id",)).where(parsers.VALID)
 
 
 def chat_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,10 +71,11 @@ parts AS (SELECT doc_id, i, CASE WHEN strpos(line, ': ') > 0 THEN lower(substr(l
 turns AS (SELECT doc_id, i, content, CASE WHEN r0 IN ('user', 'human', 'prompter') THEN 'user' WHEN r0 IN ('assistant', 'gpt', 'bot', 'model') THEN 'assistant' ELSE r0 END AS role FROM parts)"""
 
 
-@query("q_role_normalize", f"WITH {_TURNS} SELECT role, count(*)::BIGINT AS turns FROM turns WHERE role IN ('user', 'assistant', 'system') GROUP BY role")
+@query("q_role_normalize", f"WITH {_TURNS} SELECT role, count(*)::BIGINT AS turns FROM turns GROUP BY role")
 def q_role_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns by role; roles without another name are kept as they are."""
     t = chat_turns(spark, sf).select(F.explode("turns").alias("t")).select("t.role")
-    return t.where(F.col("role").isin("user", "assistant", "system")).groupBy("role").agg(F.count(F.lit(1)).alias("turns"))
+    return t.groupBy("role").agg(F.count(F.lit(1)).alias("turns"))
 
 
 @query("q_chat_parse", f"""WITH {_TURNS}, a AS (SELECT doc_id, max(i) AS ai FROM turns WHERE role = 'assistant' GROUP BY doc_id),
@@ -92,51 +88,62 @@ def q_chat_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.chat(chat_turns(spark, sf), F.col("turns"), ("doc_id",)).where(parsers.VALID)
 
 
-@query("q_union_sources", """SELECT r.sample_id, c.source, CASE WHEN c.format IN ('pair', 'io', 'fields') THEN 'pair' ELSE c.format END AS format, r.dataset
-FROM raw_samples r JOIN source_catalog c ON r.dataset = c.name WHERE length(trim(coalesce(instruction, ''))) > 0 AND length(trim(coalesce(response, ''))) > 0""")
+# The context of a chat is its first turn; a pair source that names no field for it has none.
+@query("q_union_sources", f"""SELECT dataset, instruction, CASE WHEN format = 'chat' AND length(context) > 0 THEN 'system: ' || context WHEN format IN ('pair', 'io', 'fields') AND context_field IS NULL THEN '' ELSE context END AS context, response FROM (
+  SELECT dataset, format, context_field, {_stripped("instruction")} AS instruction, {_stripped("context")} AS context, {_stripped("response")} AS response FROM raw_samples JOIN source_catalog ON dataset = name)
+WHERE length(instruction) > 0 AND length(response) > 0""")
 def q_union_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """All sources as one bag, each row with its source's kind and format."""
-    norm = F.col("format")
-    for alias, name in FORMATS.items():
-        norm = F.when(F.col("format") == alias, name).otherwise(norm)
-    cat = load(spark, sf, "source_catalog").select("name", "source", norm.alias("format"))
-    rows = load(spark, sf, "raw_samples").where("length(trim(coalesce(instruction, ''))) > 0 AND length(trim(coalesce(response, ''))) > 0")
-    return rows.join(cat, rows["dataset"] == cat["name"]).select("sample_id", "source", "format", "dataset")
+    """All sources as one bag: each is written as JSON lines in its own format, and read back and parsed by its entry of the catalog."""
+    entries = load(spark, sf, "source_catalog").select("name", "format", "prompt_field", "response_field", "context_field").collect()  # one row per source
+    folder = work_folder(spark)
+    specs = [DatasetSpec(e.name, f"{folder}/dataset={e.name}", format=e.format, **{k: v for k, v in {"prompt_field": e.prompt_field, "response_field": e.response_field, "context_field": e.context_field}.items() if v}) for e in entries]
+    kinds = spark.createDataFrame([(s.name, FORMATS[s.format], s.prompt_field, s.response_field, s.context_field or "no_context") for s in specs], "dataset string, kind string, p string, r string, c string")
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    line = F.when(F.col("kind") == "alpaca", F.to_json(F.struct("instruction", F.col("context").alias("input"), F.col("response").alias("output"))))
+    line = line.when(F.col("kind") == "chat", F.to_json(F.struct(F.array(turn("system", "context"), turn("human", "instruction"), turn("gpt", "response")).alias("messages"))))
+    line = line.otherwise(F.to_json(F.map_from_arrays(F.array("p", "r", "c"), F.array("instruction", "response", "context"))))
+    rows = load(spark, sf, "raw_samples").join(F.broadcast(kinds), "dataset")  # one row per source
+    rows.select("dataset", line.alias("value")).write.partitionBy("dataset").text(folder)
+    return readers.merged(spark, [s for s in specs if readers.exists(spark, s.path)])
 
 
-@query("q_source_stats", """SELECT dataset, count(*)::BIGINT AS n_read, count(*) FILTER (WHERE length(trim(coalesce(instruction, ''))) > 0 AND length(trim(coalesce(response, ''))) > 0)::BIGINT AS n_kept
-FROM raw_samples GROUP BY dataset""")
+_ZONED = f"""stripped AS (SELECT sample_id, loaded_at, dataset, {", ".join(f"{_stripped(c)} AS {c}" for c in ("instruction", "context", "response"))} FROM raw_samples),
+valid AS (SELECT * FROM stripped WHERE length(instruction) > 0 AND length(response) > 0)"""
+
+
+def parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """raw_samples through the alpaca parser, valid or not."""
+    raw = load(spark, sf, "raw_samples").withColumns({"input": F.col("context"), "output": F.lit(None).cast("string")})
+    return parsers.alpaca(raw, ("sample_id", "loaded_at", "dataset"))
+
+
+@query("q_source_stats", f"WITH {_ZONED} SELECT dataset, count(*)::BIGINT AS n_read, count(*) FILTER (WHERE length(instruction) > 0 AND length(response) > 0)::BIGINT AS n_kept FROM stripped GROUP BY dataset")
 def q_source_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return parsers.source_stats(load(spark, sf, "raw_samples"), F.expr("length(trim(coalesce(instruction, ''))) > 0 AND length(trim(coalesce(response, ''))) > 0"))
+    return parsers.source_stats(parsed(spark, sf), F.expr(parsers.VALID))
 
 
 @query("q_capped_scan", """SELECT dataset, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY r.dataset ORDER BY sample_id, loaded_at) AS rn
 FROM raw_samples r JOIN source_catalog c ON r.dataset = c.name) WHERE coalesce(row_limit, 0) = 0 OR rn <= row_limit""")
 def q_capped_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The first rows of each source up to its row_limit: the cap is the feature."""
-    from lenforge.operators.numbering import numbered
-
-    cat = load(spark, sf, "source_catalog").select(F.col("name").alias("dataset"), "row_limit")
-    rows = load(spark, sf, "raw_samples").select("dataset", "sample_id", "loaded_at").where("dataset IS NOT NULL")
-    ranked = numbered(rows, ["dataset"], ["sample_id", "loaded_at"], "_rank")
-    return ranked.join(cat, "dataset").where("coalesce(row_limit, 0) = 0 OR _rank < row_limit").select("dataset", "sample_id")
+    caps = load(spark, sf, "source_catalog").select(F.col("name").alias("dataset"), "row_limit")
+    return readers.capped_by(load(spark, sf, "raw_samples").select("dataset", "sample_id", "loaded_at"), "dataset", ["sample_id", "loaded_at"], caps).select("dataset", "sample_id")
 
 
 # A zone's words: those of its prefix, and those of its text; a prefix ends in a space, so the two never touch.
 def _zones_sql(limit: int) -> str:
     w = "len(regexp_extract_all({0}, '[^ \\t\\n\\r\\f]+'))"
-    return f"""zones AS (SELECT sample_id, loaded_at, {w.format("'### Instruction: ' || instruction")} + 1 AS prompt_len,
-  CASE WHEN regexp_matches(coalesce(context, ''), '[^ \\t\\n\\r\\f\\x0b]') THEN {w.format("'### Input: ' || context")} ELSE 0 END AS context_len,
-  {w.format("'### Response: ' || response")} + 1 AS response_len FROM raw_samples WHERE instruction IS NOT NULL AND response IS NOT NULL),
+    return f"""{_ZONED}, zones AS (SELECT sample_id, loaded_at, {w.format("'### Instruction: ' || instruction")} + 1 AS prompt_len,
+  CASE WHEN length(context) > 0 THEN {w.format("'### Input: ' || context")} ELSE 0 END AS context_len,
+  {w.format("'### Response: ' || response")} + 1 AS response_len FROM valid),
 cased AS (SELECT *, prompt_len + context_len + response_len AS total_len,
   CASE WHEN prompt_len + context_len + response_len <= {limit} THEN 0 WHEN prompt_len + context_len > {limit // 2} AND response_len > {limit // 2} THEN 3
        WHEN response_len > {limit // 2} THEN 2 ELSE 1 END AS case_code FROM zones)"""
 
 
 def zones(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "raw_samples").where("instruction IS NOT NULL AND response IS NOT NULL")
     z = L.zone_lengths()
-    out = rows.select("sample_id", "loaded_at", *(c.cast("long").alias(k) for k, c in z.items()))
+    out = parsed(spark, sf).where(parsers.VALID).select("sample_id", "loaded_at", *(c.cast("long").alias(k) for k, c in z.items()))
     return out.withColumn("total_len", F.col("prompt_len") + F.col("context_len") + F.col("response_len"))
 
 
@@ -145,6 +152,18 @@ def q_zone_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return zones(spark, sf)
 
 
+_IDS = "list_transform(regexp_extract_all({0}, '[^ \\t\\n\\r\\f]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 49997 + 3)"
+
+
+@query("q_encode_zones", f"""WITH {_ZONED}, ids AS (SELECT sample_id, loaded_at, list_prepend(1, {_IDS.format("'### Instruction: ' || instruction")}) AS p,
+  CASE WHEN length(context) > 0 THEN {_IDS.format("chr(10) || '### Input: ' || context")} ELSE [] END AS c, list_append({_IDS.format("chr(10) || '### Response: ' || response")}, 2) AS r FROM valid)
+SELECT sample_id, loaded_at, array_to_string(p, ',') AS prompt_ids, array_to_string(c, ',') AS context_ids, array_to_string(r, ',') AS response_ids, (len(p) + len(c) + len(r))::BIGINT AS total_len FROM ids""")
+def q_encode_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of each zone, with begin and end ids."""
+    e = encoding.encode_zones(parsed(spark, sf).where(parsers.VALID))
+    return e.select("sample_id", "loaded_at", *(F.array_join(c, ",").alias(c) for c in ("prompt_ids", "context_ids", "response_ids")), F.col("total_len").cast("long").alias("total_len"))
+
+
 @query("q_case_codes", f"WITH {_zones_sql(256)} SELECT case_code::INTEGER AS case_code, count(*)::BIGINT AS n FROM cased GROUP BY 1")
 def q_case_codes(spark: SparkSession, sf: str) -> DataFrame:
     code = L.case_code(F.col("prompt_len"), F.col("context_len"), F.col("response_len"), 256)
@@ -212,20 +231,20 @@ def q_shard_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_shard_round_trip", f"WITH {_SHARDED} SELECT doc_id, total_len, band::INTEGER AS band, shard_id::BIGINT AS shard_id, sample_idx::BIGINT AS sample_idx FROM sharded WHERE shard_id % 2 = 1")
 def q_shard_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Shards written one folder each, then every second one read back through partition pruning (as one rank of two does)."""
+    """Shards written, then those of one rank of two read back."""
     path = work_folder(spark)
     rows = sharded(spark, sf)
     readers.write_shards(rows, path)
-    back = spark.read.parquet(path).where("shard_id % 2 = 1")
+    back = readers.read_shards(spark, path).where("shard_id % 2 = 1")
     return back.select("doc_id", "total_len", "band", F.col("shard_id").cast("long").alias("shard_id"), "sample_idx")
 
 
 @query("q_shard_round_trip_ranks", f"WITH {_SHARDED} SELECT doc_id, total_len, band::INTEGER AS band, shard_id::BIGINT AS shard_id, sample_idx::BIGINT AS sample_idx, (shard_id % 2)::INTEGER AS rank FROM sharded")
 def q_shard_round_trip_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """All shards read back, by each of two ranks through partition pruning."""
+    """All shards read back, by each of two ranks."""
     path = work_folder(spark)
     readers.write_shards(sharded(spark, sf), path)
-    one, two = (spark.read.parquet(path).where(f"shard_id % 2 = {r}").withColumn("rank", F.lit(r)) for r in range(2))
+    one, two = (readers.read_shards(spark, path).where(f"shard_id % 2 = {r}").withColumn("rank", F.lit(r)) for r in range(2))
     return one.unionByName(two).select("doc_id", "total_len", "band", F.col("shard_id").cast("long").alias("shard_id"), "sample_idx", "rank")
 
 
@@ -326,19 +345,30 @@ def q_band_config(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_band_weights", f"""WITH {BANDED} SELECT band::INTEGER AS band, count(*)::BIGINT AS population, count(*) / (SELECT count(*) FROM banded)::DOUBLE AS weight FROM banded GROUP BY band""")
 def q_band_weights(spark: SparkSession, sf: str) -> DataFrame:
-    counts = banded(spark, sf).groupBy("band").agg(F.count(F.lit(1)).alias("population"))
-    total = counts.agg(F.sum("population").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).select("band", "population", (F.col("population") / F.col("_all")).alias("weight"))  # one row
+    n = batches.band_counts(banded(spark, sf))
+    c = bands.BandConfig(0, 0, 3, {}, [*CUTOFFS, LIMIT], [n.get(b, 0) for b in range(3)], n.get(3, 0), 0, 0)
+    rows = [(b, p, w) for b, p, w in zip(range(4), [*c.populations, c.chunked], c.weights, strict=True) if p]
+    return spark.createDataFrame(rows, "band int, population bigint, weight double")
+
+
+SYNTHETIC = 2000
+
+
+def _words_sql(first: str, n: str) -> str:
+    table = "[" + ", ".join(f"'{w}'" for w in synthetic.WORDS.split()) + "]"
+    return f"array_to_string(list_transform(range({n}), lambda i: {table}[(({first} + i * (({first} % 13) * 2 + 1) + i * i // 7) % {len(synthetic.WORDS.split())} + 1)::INTEGER]), ' ')"
+
+
+def _corpus_sql(mix: str) -> str:
+    part = lambda at: f"('0x' || substr(h, {at}, 6))::BIGINT"
+    size = lambda k: "CASE kind " + " ".join(f"WHEN '{c}' THEN {v[k]}" for c, v in synthetic.KINDS.items()) + " END"
+    opening = "[" + ", ".join(f"'{o}'" for o in synthetic.OPENINGS) + "]"
+    return f"""SELECT '{mix}' AS mix, id, {opening}[({part(7)} % {len(synthetic.OPENINGS)} + 1)::INTEGER] || ' ' || {_words_sql(part(13), size(0))} AS instruction, '' AS input, {_words_sql(part(19), size(1))} AS output
+FROM (SELECT *, substr('{synthetic.MIXES[mix]}', ({part(1)} % 10 + 1)::INTEGER, 1) AS kind FROM (SELECT range AS id, md5('1234-{mix}-' || range::VARCHAR) AS h FROM range({SYNTHETIC})))"""
 
 
-@query("q_synth_corpus", """WITH g AS (SELECT range AS id, md5('1234-' || range::VARCHAR) AS h FROM range(2000)),
-m AS (SELECT id, ('0x' || substr(h, 1, 6))::BIGINT % 10 AS c, ('0x' || substr(h, 7, 6))::BIGINT AS r FROM g)
-SELECT id, (CASE WHEN c < 4 THEN 10 WHEN c < 7 THEN 60 WHEN c < 9 THEN 250 ELSE 700 END)::INTEGER AS instruction_words,
-  (CASE WHEN c < 4 THEN 30 WHEN c < 7 THEN 180 WHEN c < 9 THEN 500 ELSE 1100 END)::INTEGER AS output_words, (r % 7)::INTEGER AS template FROM m""")
+@query("q_synth_corpus", " UNION ALL ".join(map(_corpus_sql, synthetic.MIXES)))
 def q_synth_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Lengths of a synthetic corpus: a seeded mixture of 4 short, 3 medium, 2 long and 1 very long of ten."""
-    h = F.md5(F.concat(F.lit("1234-"), F.col("id").cast("string")))
-    part = lambda at: F.conv(F.substring(h, at, 6), 16, 10).cast("long")
-    c = part(1) % 10
-    pick = lambda s, m, l, x: F.when(c < 4, s).when(c < 7, m).when(c < 9, l).otherwise(x)  # noqa: E731,E741
-    return spark.range(2000).select("id", pick(10, 60, 250, 700).alias("instruction_words"), pick(30, 180, 500, 1100).alias("output_words"), (part(7) % 7).cast("int").alias("template"))
+    """Records of each synthetic corpus, with their texts; the number of records is a parameter of the generator."""
+    one, two, three = (synthetic.corpus(spark, m, SYNTHETIC).withColumn("mix", F.lit(m)) for m in synthetic.MIXES)
+    return one.unionByName(two).unionByName(three)

@@ -93,6 +93,11 @@ def merged(spark: SparkSession, specs: list[DatasetSpec]) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def n_read(spark: SparkSession, specs: list[DatasetSpec]) -> int:
     """Records of all sources before parsing."""
     from lenforge.sources.catalog import FORMATS
