@@ -590,4 +590,22 @@ def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.hint("merge").join(links.hint("merge"), "rep", "left").select(F.col("id").alias("sample_id"), "rep", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-ORACLES: dict[str, str] = {}
+# White space as str.split sees it. In SQL all runs are joined with each other, which small tables allow.
+_SPACE = r"\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SQL = rf"""once AS (SELECT sample_id, arg_min(coalesce(instruction, '') || ' ' || coalesce(response, ''), loaded_at) AS text FROM raw_samples WHERE sample_id IS NOT NULL GROUP BY sample_id),
+w AS (SELECT sample_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{_SPACE}]+', '', 'g'), '[{_SPACE}]+'), lambda x: length(x) > 0) AS w FROM once),
+members AS (SELECT sample_id, min(sample_id) OVER (PARTITION BY array_to_string(w, ' ')) AS rep FROM w WHERE len(w) > 0),
+r AS (SELECT DISTINCT sample_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS run FROM w WHERE len(w) > 0),
+n AS (SELECT sample_id, count(*) AS n FROM r GROUP BY sample_id),
+p AS (SELECT a.sample_id AS id_a, b.sample_id AS id_b, count(*) AS shared FROM r a JOIN r b ON a.run = b.run AND a.sample_id < b.sample_id GROUP BY 1, 2),
+found AS (SELECT id_a, id_b, shared / (x.n + y.n - shared) AS similarity FROM p JOIN n x ON x.sample_id = id_a JOIN n y ON y.sample_id = id_b WHERE 2 * shared >= x.n + y.n - shared),
+pairs AS (SELECT id_a AS rep_a, id_b AS rep_b, similarity FROM found JOIN members x ON x.sample_id = id_a AND x.rep = id_a JOIN members y ON y.sample_id = id_b AND y.rep = id_b)"""
+ORACLES = {
+    "p4_found": f"WITH {_SQL} SELECT id_a, id_b FROM found",
+    "p4_pairs": f"WITH {_SQL} SELECT * FROM pairs",
+    "p4_members": f"""WITH {_SQL}, l AS (SELECT rep, count(*) AS links FROM (SELECT rep_a AS rep FROM pairs UNION ALL SELECT rep_b FROM pairs) GROUP BY rep)
+SELECT sample_id, rep, coalesce(links, 0)::BIGINT AS links FROM members LEFT JOIN l USING (rep)""",
+    "p4_groups": f"""WITH RECURSIVE {_SQL}, e AS (SELECT id_a AS a, id_b AS b FROM found UNION ALL SELECT id_b, id_a FROM found),
+reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT a AS sample_id, min(b) AS group_id FROM reach GROUP BY a""",
+}

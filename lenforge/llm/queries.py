@@ -20,6 +20,7 @@ QUERIES = {
     "p6_ids": encoding.p6_ids,
     "p7_mix": mixing.p7_mix,
     "p7_shares": mixing.p7_shares,
+    "p7_kept": mixing.p7_kept,
     "p8_found": abuse.p8_found,
     "p8_scores": abuse.p8_scores,
     "p8_rates": abuse.p8_rates,
