@@ -120,8 +120,20 @@ def q_batch_stats_single(spark: SparkSession, sf: str) -> DataFrame:
     return stats(spark, sf, "single")[0]
 
 
-# One row per band in turn: round by round, the bands that still have rows; batches of 32 within the rounds restart at band 0.
-@query("q_batch_stats_baseline")
+# One row per band in turn: q whole rounds, in which every band gives what it has, then one row of the first bands that have more.
+_LEAST = " + ".join(f"least(r{b}, q)" for b in range(4))
+_TAKEN = ", ".join(f"least(r{b}, q) + (r{b} > q AND {' + '.join(['0', *(f'(r{a} > q)::INTEGER' for a in range(b))])} < e)::INTEGER AS t{b}" for b in range(4))
+_BASE = BANDED + f""", cnt AS (SELECT count(*) FILTER (band = 0) AS r0, count(*) FILTER (band = 1) AS r1, count(*) FILTER (band = 2) AS r2, count(*) FILTER (band = 3) AS r3 FROM banded),
+s AS (SELECT 0 AS step, r0, r1, r2, r3, 0::BIGINT AS x0, 0::BIGINT AS x1, 0::BIGINT AS x2, 0::BIGINT AS x3 FROM cnt
+  UNION ALL SELECT step + 1, r0 - t0, r1 - t1, r2 - t2, r3 - t3, t0, t1, t2, t3 FROM (SELECT *, {_TAKEN} FROM (SELECT *, 32 - ({_LEAST}) AS e FROM (
+    SELECT *, list_max(list_filter(range(33), lambda q: {_LEAST} <= 32)) AS q FROM s WHERE r0 + r1 + r2 + r3 > 0)))),
+slices AS (SELECT step - 1 AS batch_id, band, n, sum(n) OVER (PARTITION BY band ORDER BY step) - n AS lo FROM (SELECT step, unnest([0, 1, 2, 3]) AS band, unnest([x0, x1, x2, x3]) AS n FROM s WHERE step > 0) WHERE n > 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY k, doc_id) - 1 AS pos FROM banded),
+base AS (SELECT batch_id, count(*) AS n_rows, ((greatest(1, max(total_len)) + 7) // 8) * 8 AS width, sum(total_len) AS real_tokens FROM pos JOIN slices ON pos.band = slices.band AND pos >= lo AND pos < lo + n GROUP BY batch_id)"""
+
+
+@query("q_batch_stats_baseline", f"""WITH RECURSIVE {_BASE} SELECT batch_id::BIGINT AS batch_id, (-1)::INTEGER AS category, n_rows::BIGINT AS n_rows, false AS fell_back, width::BIGINT AS width, (n_rows * width)::BIGINT AS padded_tokens,
+  real_tokens::BIGINT AS real_tokens, (n_rows * width - real_tokens)::BIGINT AS pad_tokens FROM base""")
 def q_batch_stats_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return stats(spark, sf, "baseline")[0]
 
@@ -147,7 +159,11 @@ def q_proxy_cost(spark: SparkSession, sf: str) -> DataFrame:
     return stats(spark, sf, "default")[0].select("batch_id", L.proxy_cost(F.col("padded_tokens").cast("double"), 2.0, 5.0, 0.5).alias("cost"))
 
 
-@query("q_compare")
+_TOTALS = "sum({0})::BIGINT AS {2}padded_tokens, sum({0})::DOUBLE AS {2}proxy_cost, 100.0 * sum({1})::DOUBLE / sum({0})::DOUBLE AS {2}padding_pct"
+
+
+@query("q_compare", f"""SELECT *, 100.0 * (base_padded_tokens - padded_tokens)::DOUBLE / base_padded_tokens::DOUBLE AS padded_reduction_pct, 100.0 * (base_proxy_cost - proxy_cost) / base_proxy_cost AS cost_reduction_pct
+FROM (WITH RECURSIVE {_STATS} SELECT {_TOTALS.format("padded_tokens", "pad_tokens", "")} FROM full_stats), (WITH RECURSIVE {_BASE} SELECT {_TOTALS.format("n_rows * width", "(n_rows * width - real_tokens)", "base_")} FROM base)""")
 def q_compare(spark: SparkSession, sf: str) -> DataFrame:
     """The category schedule against the rotation over bands."""
     queues = placed(banded(spark, sf))
@@ -167,15 +183,27 @@ def q_rank_totals(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("rank").agg(F.sum("n").alias("n_rows"), F.sum("ids").alias("ids"), F.sum(F.ceil(F.col("n") / BATCH)).alias("single_band_batches"))
 
 
-@query("q_stream_batches")
-def q_stream_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of a stream of shard files, four files a window, with leftovers carried over; a row per batch."""
+def _streamed_batches(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark)
     readers.write_shards(sharded(spark, sf).select("doc_id", "band", "total_len", "shard_id", "sample_idx"), f"{folder}/in", 1)
     rows = batcher.run(spark, f"{folder}/in/*", "doc_id bigint, band int, total_len bigint, sample_idx bigint", f"{folder}/out", f"{folder}/state", 4, BATCH)
+    return rows
+
+
+@query("q_stream_batches")
+def q_stream_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of a stream of shard files, four files a window, with leftovers carried over; a row per batch."""
+    rows = _streamed_batches(spark, sf)
     return rows.groupBy("batch_id", "band").agg(F.count(F.lit(1)).alias("n_rows"), F.max("total_len").alias("longest"), F.sum("total_len").alias("ids"))
 
 
+@query("q_stream_totals", f"""WITH {BANDED} SELECT band::INTEGER AS band, count(*)::BIGINT AS n_rows, count(*)::BIGINT AS distinct_rows, sum(total_len)::BIGINT AS ids, ((count(*) + 31) // 32)::BIGINT AS batches FROM banded GROUP BY band""")
+def q_stream_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream must keep: each row in one batch, and per band only the last batch short, whatever the windows."""
+    rows = _streamed_batches(spark, sf)
+    return rows.groupBy("band").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("distinct_rows"), F.sum("total_len").alias("ids"), F.countDistinct("batch_id").alias("batches"))
+
+
 # --- collation -------------------------------------------------------------------------------------------------------
 
 
