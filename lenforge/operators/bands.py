@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_LENGTHS = 1 << 20
+#: Lengths up to the longest sequence in use; the search is quadratic in them (some ten seconds at this bound).
+MAX_LENGTHS = 1 << 16
 
 
 def histogram(rows: DataFrame, limit: int) -> DataFrame:
