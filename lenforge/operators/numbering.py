@@ -26,6 +26,14 @@ def shifted(placed: DataFrame, groups: Sequence[str], first: Column, size: Colum
     return named.withColumn("_before", F.sum("_n").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_total", F.sum("_n").over(by))
 
 
+def sent(table: DataFrame) -> tuple[DataFrame, bool]:
+    """A small table by way of the driver, to be broadcast, and True; one of more than ``SENT_ROWS`` rows as it is, to be joined by a shuffle, and False."""
+    rows = table.limit(SENT_ROWS + 1).collect()
+    if len(rows) > SENT_ROWS:
+        return table, False
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)), True
+
+
 def same_part(groups: Sequence[str]) -> Column:
     """The condition that joins a sorted table with its shifts."""
     same = F.col("_part") == F.col("_p")
@@ -45,7 +53,6 @@ def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], name:
     sorted_ = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
     # Written, so that the place of each row stays the one its group was counted by.
     placed = written(sorted_.select(*rows.columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")))
-    shifts = written(shifted(placed, groups, F.col("_place"), F.lit(1)))
-    few = F.broadcast(shifts) if shifts.count() <= SENT_ROWS else shifts
+    few, _ = sent(shifted(placed, groups, F.col("_place"), F.lit(1)))
     rank = F.col("_place") - F.col("_first") + F.col("_before")
     return placed.join(few, same_part(groups)).withColumn(name, rank.cast("long")).select(*rows.columns, name)

@@ -129,3 +129,18 @@ def test_stream_emits_every_row_once(spark, tmp_path):
         sizes.setdefault((r.batch_id, r.band), []).append(r.row_idx)
     assert all(sorted(x) == list(range(len(x))) and len(x) <= 16 for x in sizes.values())
     assert all(len(x) == 16 for (b, _), x in sizes.items() if not b.startswith("end"))
+
+
+def test_numbers_do_not_depend_on_how_shifts_are_joined(spark, monkeypatch):
+    from lenforge.operators import numbering
+
+    rows = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN 'a' ELSE 'hot' END AS g", "md5(CAST(id AS STRING)) AS k")
+    got = []
+    for limit in (100_000, 2):
+        monkeypatch.setattr(numbering, "SENT_ROWS", limit)
+        got.append(sorted((r.g or "", r.k, r.n) for r in numbering.numbered(rows, ["g"], ["k", "id"], "n", 6).collect()))
+    assert got[0] == got[1]
+    for g in ("", "a", "hot"):
+        assert [n for x, _, n in got[0] if x == g] == list(range(sum(x == g for x, _, _ in got[0])))
+    assert sorted(r.n for r in numbering.numbered(rows, [], ["k", "id"], "n", 5).collect()) == list(range(500))
+    assert numbering.numbered(rows.where("false"), ["g"], ["k"], "n", 3).count() == 0
