@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lenforge.operators.numbering import SENT_ROWS, same_part, shifted
+from lenforge.operators.numbering import same_part, sent, shifted
 from lenforge.session import written
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -68,7 +68,7 @@ def percentiles(counts: DataFrame, groups: Sequence[str], at: Sequence[float] =
     sorted_ = counts.select(*by, "n").repartitionByRange(n_parts, *by).sortWithinPartitions(*by)
     # The partition of each row must stay what it was when its counts were taken, hence the written table.
     placed = written(_running(sorted_.withColumn("_part", F.spark_partition_id())))
-    offsets = written(shifted(placed, groups, F.col("_end") - F.col("n"), F.col("n")))
+    offsets, small = sent(shifted(placed, groups, F.col("_end") - F.col("n"), F.col("n")))
     quantile = F.explode(F.array(*(F.lit(float(q)) for q in at))).alias("percentile")
     place = F.col("percentile") * (F.col("_total") - 1)
     targets = (
@@ -78,8 +78,8 @@ def percentiles(counts: DataFrame, groups: Sequence[str], at: Sequence[float] =
         .where((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_n")))
         .select("_p", *(f"_g{i}" for i in range(len(groups))), (F.col("_pos") - F.col("_before") + F.col("_first")).alias("_spot"), "percentile", "_side", "_total")
     )
-    # Two rows per group and percentile at most, and one partition each: groups decide the size, which is checked.
-    few = F.broadcast(targets) if offsets.count() * 2 * len(at) <= SENT_ROWS else targets
+    # Two rows per group and percentile, from a table of checked size.
+    few = F.broadcast(targets) if small else targets
     within = (F.col("_spot") < F.col("_end")) & (F.col("_spot") >= F.col("_end") - F.col("n"))
     found = placed.join(few, same_part(groups) & within).select(*groups, "percentile", "_side", "_total", F.col("value").cast("double").alias("value"))
     low = F.max(F.when(F.col("_side") == 0, F.col("value")))
