@@ -63,7 +63,7 @@ def test_all_alpaca_sources_are_parsed(spark, tmp_path):
     spark.createDataFrame([("a", "alpaca"), ("b", "alpaca"), ("c", "chat")], "name string, format string").write.parquet(str(tmp_path / "source_catalog.parquet"))
     rows = [(1, "a", "\tdo ", None, "done "), (2, "b", "do", " x", " y"), (3, "c", "do", "", "z"), (4, "b", "do", "", " \n"), (5, None, "do", "", "z"), (6, "a", None, "", "z")]
     spark.createDataFrame(rows, "sample_id bigint, dataset string, instruction string, context string, response string").write.parquet(str(tmp_path / "raw_samples.parquet"))
-    got = sorted(map(tuple, QUERIES["q_alpaca_sources"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, QUERIES["q_alpaca_parse"](spark, str(tmp_path)).collect()))
     assert got == [(1, "a", "do", "", "done"), (2, "b", "do", "x", "y")]
 
 
