@@ -17,9 +17,9 @@ def shuffle_key(seed: str | int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
 
 
-def positioned(rows: DataFrame, key: str, seed: int = 42, groups: Sequence[str] = ("band",)) -> DataFrame:
-    """Adds pos, the place of each row in its band's queue."""
-    return numbered(rows.withColumn("_key", shuffle_key(seed, key)), list(groups), ["_key", key], "pos").drop("_key")
+def positioned(rows: DataFrame, key: str, seed: int = 42, groups: Sequence[str] = ("band",), first: Sequence[str] = ()) -> DataFrame:
+    """Adds pos, the place of each row in its band's queue; ``first``: columns that order a queue before the shuffled order does."""
+    return numbered(rows.withColumn("_key", shuffle_key(seed, key)), list(groups), [*first, "_key", key], "pos").drop("_key")
 
 
 def band_counts(rows: DataFrame) -> dict[int, int]:

@@ -183,16 +183,20 @@ def q_rank_totals(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("rank").agg(F.sum("n").alias("n_rows"), F.sum("ids").alias("ids"), F.sum(F.ceil(F.col("n") / BATCH)).alias("single_band_batches"))
 
 
+#: Shard files of a micro-batch of the stream: 8,192 shards, 2,048 resident windows of four.
+STREAM_FILES = 128
+
+
 def _streamed_batches(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark)
-    readers.write_shards(sharded(spark, sf).select("doc_id", "band", "total_len", "shard_id", "sample_idx"), f"{folder}/in", 1)
-    rows = batcher.run(spark, f"{folder}/in/*", "doc_id bigint, band int, total_len bigint, sample_idx bigint", f"{folder}/out", f"{folder}/state", 4, BATCH)
-    return rows
+    readers.write_shards(sharded(spark, sf).select("doc_id", "band", "total_len", "shard_id", "sample_idx"), f"{folder}/in")
+    schema = "doc_id bigint, band int, total_len bigint, shard_id bigint, sample_idx bigint"
+    return batcher.run(spark, f"{folder}/in/*", schema, f"{folder}/out", f"{folder}/state", 4, BATCH, shard="shard_id", files=STREAM_FILES)
 
 
 @query("q_stream_batches")
 def q_stream_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of a stream of shard files, four files a window, with leftovers carried over; a row per batch."""
+    """Batches of a stream of shard files, four shards a window, with leftovers carried over; a row per batch."""
     rows = _streamed_batches(spark, sf)
     return rows.groupBy("batch_id", "band").agg(F.count(F.lit(1)).alias("n_rows"), F.max("total_len").alias("longest"), F.sum("total_len").alias("ids"))
 
