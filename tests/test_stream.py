@@ -59,3 +59,19 @@ def test_q_stream_batches_takes_many_windows_at_once(spark, tmp_path, monkeypatc
     assert len(calls) == 1  # six windows
     assert sum(r.n_rows for r in got) == 3000 and {int(r.batch_id.split("-")[0]) for r in got if r.n_rows == 32} == set(range(6))
     assert all(r.n_rows == 32 or r.batch_id.startswith("end") for r in got)
+
+
+def test_q_stream_totals_equals_its_sql_over_many_windows(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from lenforge.catalogue_of_queries import ORACLES, QUERIES
+
+    calls = counted(monkeypatch)
+    spark.range(3001).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id % 7 = 0 THEN NULL ELSE repeat('a ', cast(id % 5 * 600 + id % 2 as int)) END").alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["q_stream_totals"](spark, str(tmp_path))
+    names = ["band", "n_rows", "distinct_rows", "ids", "batches"]
+    rows = sorted(tuple(r[n] for n in names) for r in got.collect())
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows == sorted(con.sql(f"select {', '.join(names)} from ({ORACLES['q_stream_totals']})").fetchall()) and len(rows) == 4
+    assert len(calls) == 1  # five windows
