@@ -65,7 +65,7 @@ class WindowBatcher:
         at = at.withColumn("_in", F.when(F.col("_own"), F.col("window")).otherwise(F.col("_later"))).withColumn("_nth", F.when(F.col("_own"), nth - F.col("_first")).otherwise(F.lit(0)))
         batches = at.where("_in IS NOT NULL").select(F.concat_ws("-", "_in", "band", "_nth").alias("batch_id"), "band", (F.col("pos") % self.batch).alias("row_idx"), self.key, "total_len", F.col("_in").alias("window"))
         batches.write.mode("overwrite").parquet(f"{self.out}/batches/micro={micro}")
-        at.where("_in IS NULL").select(self.key, "band", "total_len", "window").coalesce(1).write.mode("overwrite").parquet(f"{self.out}/left/micro={micro}")
+        at.where("_in IS NULL").select(self.key, "band", "total_len", "window").repartition(1).write.mode("overwrite").parquet(f"{self.out}/left/micro={micro}")
         spark.createDataFrame([(after,)], "window int").coalesce(1).write.mode("overwrite").parquet(f"{self.out}/next/micro={micro}")
 
     def flush(self, spark: SparkSession, last_micro: int) -> None:
