@@ -11,7 +11,7 @@ from lenforge.functions import lengths as L
 from lenforge.operators import batches, costs, parsers, select
 from lenforge.pipeline import DataPipeline, PipelineConfig
 from lenforge.plans import planner
-from lenforge.queries_tables import _ASSIGNED, _zones_sql, BANDED, CUTOFFS, LIMIT, SHARD, banded, config, doc_lengths, parsed, sharded, streamed
+from lenforge.queries_tables import _ASSIGNED, _zones_sql, BANDED, CUTOFFS, LIMIT, SHARD, banded, config, doc_lengths, parsed, streamed
 from lenforge.session import load, work_folder
 from lenforge.sources import readers
 from lenforge.streaming import batcher
@@ -189,7 +189,7 @@ STREAM_FILES = 128
 
 def _streamed_batches(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark)
-    readers.write_shards(sharded(spark, sf).select("doc_id", "band", "total_len", "shard_id", "sample_idx"), f"{folder}/in")
+    readers.write_shards(readers.with_shards(banded(spark, sf, once=True), ["doc_id"], SHARD), f"{folder}/in")
     schema = "doc_id bigint, band int, total_len bigint, shard_id bigint, sample_idx bigint"
     return batcher.run(spark, f"{folder}/in/*", schema, f"{folder}/out", f"{folder}/state", 4, BATCH, shard="shard_id", files=STREAM_FILES)
 

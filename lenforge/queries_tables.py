@@ -9,7 +9,7 @@ from lenforge.catalogue_of_queries import query
 from lenforge.functions import encoding
 from lenforge.functions import lengths as L
 from lenforge.operators import bands, batches, parsers
-from lenforge.session import load, work_folder
+from lenforge.session import load, work_folder, written
 from lenforge.sources import readers, synthetic
 from lenforge.sources.catalog import FORMATS, DatasetSpec
 
@@ -22,12 +22,14 @@ BANDED = DOCS + """, banded AS (SELECT doc_id, total_len, CASE WHEN total_len >
   md5('42-' || doc_id::VARCHAR) AS k FROM docs)"""
 
 
-def doc_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", L.n_words(F.col("text")).cast("long").alias("total_len")).where("total_len > 0")
+def doc_lengths(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
+    """``once``: lengths are written before any are dropped, as a filter counts the words again, and so does each pass over its rows."""
+    counted = load(spark, sf, "documents").select("doc_id", L.n_words(F.col("text")).cast("long").alias("total_len"))
+    return (written(counted) if once else counted).where("total_len > 0")
 
 
-def banded(spark: SparkSession, sf: str) -> DataFrame:
-    return doc_lengths(spark, sf).withColumn("band", L.band_at_load(F.col("total_len"), F.lit(False), CUTOFFS, LIMIT))
+def banded(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
+    return doc_lengths(spark, sf, once).withColumn("band", L.band_at_load(F.col("total_len"), F.lit(False), CUTOFFS, LIMIT))
 
 
 # --- zones -----------------------------------------------------------------------------------------------------------

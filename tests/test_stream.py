@@ -75,3 +75,19 @@ def test_q_stream_totals_equals_its_sql_over_many_windows(spark, tmp_path, monke
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert rows == sorted(con.sql(f"select {', '.join(names)} from ({ORACLES['q_stream_totals']})").fetchall()) and len(rows) == 4
     assert len(calls) == 1  # five windows
+
+
+def test_q_stream_totals_counts_the_words_of_a_text_once(spark, tmp_path, monkeypatch):
+    from lenforge.catalogue_of_queries import QUERIES
+    from lenforge.functions import lengths
+
+    texts = spark.sparkContext.accumulator(0)
+
+    def n_words(text):
+        texts.add(1)
+        return None if text is None else len(text.split())
+
+    monkeypatch.setattr(lengths, "n_words", F.udf(n_words, "int"))
+    spark.range(700).selectExpr("id AS doc_id", "CASE WHEN id % 7 > 1 THEN repeat('a ', cast(id % 5 * 600 as int)) WHEN id % 7 = 1 THEN ' ' END AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.band: r.n_rows for r in QUERIES["q_stream_totals"](spark, str(tmp_path)).collect()}
+    assert got == {1: 200, 2: 100, 3: 100} and texts.value == 700
